@@ -23,8 +23,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .hashing import Table
 
-PAD, NONE = -1, np.int64(1) << 40
+PAD, NONE = -1, 1 << 40
 #: Longest piece for matrices, and pieces handled at a time.
 _LONG, _PIECES, _MOST = 256, 1 << 17, 1 << 19
 
@@ -41,11 +42,6 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _slots(keys: np.ndarray, mask: int) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(mask)).astype(np.int64)
-
-
 class Tokenizer:
     """Ranks and pattern, ready to encode and decode."""
 
@@ -70,32 +66,11 @@ class Tokenizer:
                     pairs[a * self.n + b] = rank
         self.pairs = pairs
         self.known, self.flat_ids = {}, []  # pieces seen by this worker, cleared at _MOST
-        keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        size = 1 << (len(pairs) * 4).bit_length()
-        self.mask, self.keys, self.values = size - 1, np.full(size, -1, np.int64), np.full(size, NONE)
-        slot, left = _slots(keys, self.mask), np.arange(len(keys))
-        while len(left):  # open addressing: all that found their slot taken try the next
-            at = slot[left]
-            _, first = np.unique(at, return_index=True)
-            free = first[self.keys[at[first]] == -1]
-            won = left[free]
-            self.keys[slot[won]], self.values[slot[won]] = keys[won], values[won]
-            left = np.delete(left, free)
-            slot[left] = (slot[left] + 1) & self.mask
+        self.merges = Table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)), NONE)
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair joins to, NONE if there is none."""
-        want = a * self.n + b
-        shape, want = want.shape, want.ravel()
-        want = np.where((a.ravel() < 0) | (b.ravel() < 0), -2, want)
-        slot, out, left = _slots(want, self.mask), np.full(want.shape, NONE), np.flatnonzero(want >= 0)
-        while len(left):
-            there = self.keys[slot[left]]
-            hit = there == want[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            left = left[~hit & (there != -1)]
-            slot[left] = (slot[left] + 1) & self.mask
-        return out.reshape(shape)
+        return self.merges.get(np.where((a < 0) | (b < 0), -2, a * self.n + b))
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
         """All pieces are ``width`` bytes or shorter."""
