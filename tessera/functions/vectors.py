@@ -23,7 +23,8 @@ def norm(a) -> Column:
 
 
 def l2_normalize(a, eps: float = 1e-12) -> Column:
-    return F.transform(doubles(a), lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    # The norm is bound once; inside the inner lambda it would be summed for each element.
+    return F.transform(F.array(F.greatest(norm(a), F.lit(eps))), lambda n: F.transform(doubles(a), lambda x: x / n))[0]
 
 
 def cosine(a, b) -> Column:
