@@ -53,3 +53,30 @@ def complex_score(h, r, t, n: int) -> Column:
     """Real part of <h, r, conj(t)>; arrays of n hold the real parts, then the imaginary ones."""
     (hr, hi), (rr, ri), (tr, ti) = _halves(h, n), _halves(r, n), _halves(t, n)
     return _three(hr, rr, tr) + _three(hi, rr, ti) + _three(hr, ri, ti) - _three(hi, ri, tr)
+
+
+def transh(h, r, t, w) -> Column:
+    """L1 gap of the projections on the hyperplane of normal w."""
+    unit = l2_normalize(w)
+    on = lambda x: F.transform(F.array(dot(x, unit)), lambda s: F.zip_with(doubles(x), unit, lambda a, b: a - s * b))[0]
+    return transe(on(h), r, on(t))
+
+
+def rotate(h, r, t, n: int) -> Column:
+    """Summed distance of h turned by the phases in the first half of r from t; real parts first, then imaginary ones."""
+    (hr, hi), (phase, _), (tr, ti) = _halves(h, n), _halves(r, n), _halves(t, n)
+    turned = lambda a, b, sign: F.zip_with(F.zip_with(a, phase, lambda x, p: x * F.cos(p)), F.zip_with(b, phase, lambda x, p: x * F.sin(p)), lambda x, y: x + sign * y)
+    gap = lambda a, b: F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return total(F.transform(F.zip_with(gap(turned(hr, hi, -1.0), tr), gap(turned(hi, hr, 1.0), ti), lambda x, y: x + y), F.sqrt))
+
+
+def hole(h, r, t, n: int) -> Column:
+    """r with the circular correlation of h and t."""
+    shifted = lambda k: F.concat(F.slice(doubles(t), k + 1, n - k), F.slice(doubles(t), F.lit(1), k))
+    return total(F.transform(doubles(r), lambda x, k: x * dot(h, shifted(k))))
+
+
+def analogy(h, r, t, n: int) -> Column:
+    """Half of it as DistMult, half as ComplEx."""
+    first, second = zip(*[_halves(x, n) for x in (h, r, t)])
+    return distmult(*first) + complex_score(*second, n // 2)

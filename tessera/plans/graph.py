@@ -148,3 +148,14 @@ def _(spark, d):
 def _(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("r"), F.col("l_partkey").alias("t")).agg(F.round(F.sum("l_quantity"), 2).alias("s"))
     return s.select("r", "t", F.rank().over(Window.partitionBy("r").orderBy(F.desc("s"))).cast("long").alias("rank"))  # ties do not worsen a rank
+
+
+@query("kge_more", _E3 + """, u AS (SELECT *, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS w FROM t), p AS (SELECT *, list_dot_product(h, w) AS a, list_dot_product(t, w) AS b FROM u)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(h[i] - a * w[i] + r[i] - t[i] + b * w[i]))), 4) AS transh,
+round(list_sum(list_transform(range(1, 33), lambda i: sqrt(power(h[i] * cos(r[i]) - h[i + 32] * sin(r[i]) - t[i], 2) + power(h[i + 32] * cos(r[i]) + h[i] * sin(r[i]) - t[i + 32], 2)))), 4) AS rotate,
+round(list_sum(list_transform(range(0, 64), lambda k: r[k + 1] * list_sum(list_transform(range(0, 64), lambda i: h[i + 1] * t[(i + k) % 64 + 1])))), 4) AS hole,
+round(list_sum(list_transform(range(1, 33), lambda i: h[i] * r[i] * t[i])) + list_sum(list_transform(range(33, 49), lambda i: h[i] * r[i] * t[i] + h[i + 16] * r[i] * t[i + 16] + h[i] * r[i + 16] * t[i + 16] - h[i + 16] * r[i + 16] * t[i])), 4) AS analogy FROM p""")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    t = e.withColumnRenamed("embedding", "h").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("r")), "vec_id").join(e.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("t")), "vec_id")
+    return t.select("vec_id", F.round(V.transh("h", "r", "t", "r"), 4).alias("transh"), F.round(V.rotate("h", "r", "t", 64), 4).alias("rotate"), F.round(V.hole("h", "r", "t", 64), 4).alias("hole"), F.round(V.analogy("h", "r", "t", 64), 4).alias("analogy"))
