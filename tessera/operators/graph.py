@@ -95,3 +95,32 @@ def largest_component(edges: DataFrame, most: int = 200) -> DataFrame:
             break
     best = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(1)
     return label.join(F.broadcast(best.select("label")), "label", "left_semi").select("node")
+
+
+def seeded_pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, steps: int = 40, tol: float = 1e-8) -> DataFrame:
+    """seed, node, p for every seed (node) at once. A source's mass is shared over its edges, parallel ones counted; a
+    node without edges keeps its own. Nodes that a seed hasn't reached have no row."""
+    shares = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    out = shares.groupBy("src").agg(F.sum("m").alias("out"))
+    matrix = cut(shares.join(out, "src").select("src", "dst", (F.col("m") / F.col("out")).alias("w")))
+    start = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    state = start.withColumn("p", F.lit(1.0))
+    for _ in range(steps):
+        sent = state.withColumnRenamed("node", "src").join(matrix, "src", "left")
+        flow = sent.select("seed", F.coalesce("dst", "src").alias("node"), (F.col("p") * F.coalesce("w", F.lit(1.0)) * (1 - restart)).alias("p"))
+        new = flow.unionByName(start.withColumn("p", F.lit(restart))).groupBy("seed", "node").agg(F.sum("p").alias("p"))
+        before = state.select("seed", "node", F.col("p").alias("q"))
+        both = cut(new.join(before, ["seed", "node"], "full").fillna(0.0, ["p", "q"]))
+        state = both.select("seed", "node", "p")
+        if tol and (both.groupBy("seed").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).agg(F.max("d")).first()[0] or 0.0) < tol:
+            break
+    return state
+
+
+def related_edges(edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """src, dst, degree, weight: the undirected edges at a hit node, by the sum of degrees and then the weight."""
+    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("w")).where("src <> dst").groupBy("src", "dst").agg(F.max("w").alias("weight"))
+    g = degrees(pairs)
+    at = lambda end: g.select(F.col("node").alias(end), F.col("degree").alias(f"__{end}"))
+    near = pairs.join(hits.select(F.col("node").alias("src"), F.lit(1).alias("__s")).distinct(), "src", "left").join(hits.select(F.col("node").alias("dst"), F.lit(1).alias("__d")).distinct(), "dst", "left").where("__s = 1 or __d = 1")
+    return near.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", (F.col("__src") + F.col("__dst")).alias("degree"), "weight")

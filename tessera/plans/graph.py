@@ -159,3 +159,20 @@ def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     t = e.withColumnRenamed("embedding", "h").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("r")), "vec_id").join(e.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("t")), "vec_id")
     return t.select("vec_id", F.round(V.transh("h", "r", "t", "r"), 4).alias("transh"), F.round(V.rotate("h", "r", "t", 64), 4).alias("rotate"), F.round(V.hole("h", "r", "t", 64), 4).alias("hole"), F.round(V.analogy("h", "r", "t", 64), 4).alias("analogy"))
+
+
+_SEED = W + """, c AS (SELECT src, dst, count(*) AS m FROM edges GROUP BY 1, 2), m AS (SELECT src, dst, m / sum(m) OVER (PARTITION BY src) AS w FROM c), s AS (SELECT 'E' || c_custkey AS seed FROM customer WHERE c_custkey % 20 = 0), p0 AS (SELECT seed, seed AS node, 1.0::DOUBLE AS p FROM s)""" + "".join(f""",
+p{k + 1} AS (SELECT seed, node, sum(p) AS p FROM (SELECT seed, coalesce(dst, node) AS node, 0.85 * p * coalesce(w, 1) AS p FROM p{k} LEFT JOIN m ON src = node UNION ALL SELECT seed, seed, 0.15 FROM s) GROUP BY 1, 2)""" for k in range(3)) + " SELECT seed, node, round(p, 6) AS p FROM p3"
+
+
+@query("ppr_seed", _SEED)
+def _(spark, d):
+    seeds = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("E"), "c_custkey").alias("node"))
+    return G.seeded_pagerank(S.message_edges(spark, d), seeds, steps=3, tol=0.0).select("seed", "node", F.round("p", 6).alias("p"))
+
+
+@query("related_edges", W + """, p AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(w) AS weight FROM edges WHERE src <> dst GROUP BY 1, 2), g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM p UNION ALL SELECT dst FROM p) GROUP BY 1)
+SELECT src, dst, a.n + b.n AS degree, round(weight, 6) AS weight FROM p JOIN g a ON a.node = src JOIN g b ON b.node = dst WHERE src IN ('S1', 'S2', 'E5') OR dst IN ('S1', 'S2', 'E5')""")
+def _(spark, d):
+    hits = spark.createDataFrame([("S1",), ("S2",), ("E5",)], "node string")
+    return G.related_edges(S.message_edges(spark, d), F.broadcast(hits)).withColumn("weight", F.round("weight", 6))

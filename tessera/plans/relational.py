@@ -260,3 +260,27 @@ def _(spark, d):
 @query("kv_filter_keys", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id").distinct().join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("norm_title", "SELECT p_partkey, replace(p_name, ' ', '') AS t, 'part-' || p_partkey || ':x' AS k FROM part")
+def _(spark, d):
+    raw = F.concat(F.lit("【已失效】 "), "p_name")
+    return table(spark, d, "part").select("p_partkey", X.norm_title(raw).alias("t"), X.cache_key(F.concat(F.lit("part-"), X.strip_bookmarks(F.concat(F.lit("《"), "p_partkey", F.lit("》")))), F.lit("x")).alias("k"))
+
+
+@query("parse_insurance", "SELECT c_custkey, CASE WHEN c_acctbal > -1 THEN trunc(c_acctbal)::BIGINT END AS n FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.parse_insurance(F.concat(F.format_number("c_acctbal", 2), F.lit("人"))).alias("n"))
+
+
+@query("parse_relation_record", "SELECT l_orderkey, l_linenumber, 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE WHEN l_returnflag = 'N' THEN 1 ELSE l_quantity END AS weight FROM lineitem")
+def _(spark, d):
+    last = F.when(F.col("l_returnflag") == "N", "high").otherwise(F.col("l_quantity").cast("string"))
+    raw = F.concat_ws("<|#|>", F.lit("relationship "), F.concat(F.lit(" p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), F.lit("k"), F.lit("d"), last)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.relation_record(raw).alias("r")).where("r is not null").select("l_orderkey", "l_linenumber", "r.src", "r.dst", "r.weight")
+
+
+@query("split_markers", "SELECT p_partkey, len(list_filter([p_name, p_brand], lambda x: x <> ''))::INT AS n, p_brand AS last FROM part")
+def _(spark, d):
+    parts = X.split_markers(F.concat_ws("##", F.lit(" "), "p_name", F.concat(F.lit("||"), "p_brand")), ["##", "||"])
+    return table(spark, d, "part").select("p_partkey", F.size(parts).alias("n"), F.element_at(parts, -1).alias("last"))
