@@ -87,7 +87,7 @@ def _(spark, d):
     return G.bfs(S.message_edges(spark, d), first, 4)
 
 
-@query("graph_lcc")
+@query("graph_lcc", WR + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), lcc(node) AS (SELECT node FROM (SELECT src AS node, count(*) AS n FROM both_ways GROUP BY 1 ORDER BY n DESC, node LIMIT 1) UNION SELECT e.dst FROM lcc JOIN both_ways e ON e.src = lcc.node) SELECT node FROM lcc""")
 def _(spark, d):
     return G.largest_component(S.message_edges(spark, d))
 
