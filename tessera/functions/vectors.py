@@ -80,3 +80,29 @@ def analogy(h, r, t, n: int) -> Column:
     """Half of it as DistMult, half as ComplEx."""
     first, second = zip(*[_halves(x, n) for x in (h, r, t)])
     return distmult(*first) + complex_score(*second, n // 2)
+
+
+def project(x, m, rows: int, cols: int) -> Column:
+    """x (rows) times the matrix m, kept row by row in one array."""
+    at = lambda j: total(F.transform(F.slice(doubles(x), 1, rows), lambda v, i: v * F.element_at(doubles(m), i * cols + j + 1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), at)
+
+
+def transr(h, r, t, m, n: int) -> Column:
+    """L1 gap after both ends are moved into the relation's space of n dimensions."""
+    return transe(project(h, m, n, n), F.slice(doubles(r), 1, n), project(t, m, n, n))
+
+
+def transd(h, r, t, hp, rp, tp) -> Column:
+    """L1 gap after each end is moved along rp by its own product with its transfer vector, and normalised."""
+    moved = lambda x, p: l2_normalize(F.transform(F.array(dot(x, p)), lambda s: F.zip_with(doubles(x), doubles(rp), lambda a, b: a + s * b))[0])
+    return transe(moved(h, hp), r, moved(t, tp))
+
+
+def rescal(h, m, t, n: int) -> Column:
+    return -total(F.zip_with(project(h, m, n, n), F.slice(doubles(t), 1, n), lambda a, b: a * b))
+
+
+def simple(h, r, inverse, t) -> Column:
+    """The mean of the products with a relation and with its inverse."""
+    return (distmult(h, r, t) + distmult(h, inverse, t)) / 2

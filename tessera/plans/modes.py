@@ -159,3 +159,19 @@ def _(spark, d):
     q = s.groupBy("h", "r", "day").agg(F.min_by("score", "t").alias("own"))
     known = s.where("t % 5 > 0").select("h", "r", "day", "score")  # known quads of the same date are left out
     return q.join(known, ["h", "r", "day"], "left").groupBy("h", "r", "day").agg((1 + F.count_if(F.col("score") > F.col("own"))).alias("rank"))
+
+
+_MATRIX = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT a.vec_id, a.v AS h, b.v AS r, c.v AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2),
+p AS (SELECT *, list_transform(range(1, 9), lambda j: list_sum(list_transform(range(1, 9), lambda i: h[i] * r[(i - 1) * 8 + j]))) AS hm, list_transform(range(1, 9), lambda j: list_sum(list_transform(range(1, 9), lambda i: t[i] * r[(i - 1) * 8 + j]))) AS tm, list_dot_product(h, r) AS a, list_dot_product(t, h) AS b FROM x),
+d AS (SELECT *, list_transform(range(1, 65), lambda i: h[i] + a * r[i]) AS hd, list_transform(range(1, 65), lambda i: t[i] + b * r[i]) AS td FROM p), u AS (SELECT *, sqrt(list_dot_product(hd, hd)) AS hs, sqrt(list_dot_product(td, td)) AS ts FROM d)
+SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: abs(hm[i] + r[i] - tm[i]))), 4) AS transr, round(-list_sum(list_transform(range(1, 9), lambda i: hm[i] * t[i])), 4) + 0.0 AS rescal,
+round(list_sum(list_transform(range(1, 65), lambda i: h[i] * r[i] * t[i] + h[i] * h[i] * t[i])) / 2, 4) + 0.0 AS simple, round(list_sum(list_transform(range(1, 65), lambda i: abs(hd[i] / hs + r[i] - td[i] / ts))), 4) AS transd FROM u"""
+
+
+@query("kge_matrix", _MATRIX)
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    at = lambda k, name: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(name))
+    x = at(0, "h").join(at(1, "r"), "vec_id").join(at(2, "t"), "vec_id")  # the relation's vector is its 8 x 8 matrix, too
+    scores = {"transr": V.transr("h", "r", "t", "r", 8), "rescal": V.rescal("h", "r", "t", 8), "simple": V.simple("h", "r", "h", "t"), "transd": V.transd("h", "r", "t", "r", "r", "h")}
+    return x.select("vec_id", *[(F.round(s, 4) + 0.0).alias(k) for k, s in scores.items()])
