@@ -148,9 +148,8 @@ def _(spark, d):
 
 @query("ontology_reclass", "SELECT n_nationkey AS si, CASE n_nationkey WHEN 3 THEN 4 WHEN 11 THEN 2 ELSE n_regionkey END AS mi FROM nation")
 def _(spark, d):
-    fixed = spark.createDataFrame([(3, 4), (11, 2)], "n_nationkey long, to long")
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_regionkey")
-    return n.join(F.broadcast(fixed), "n_nationkey", "left").select(F.col("n_nationkey").alias("si"), F.coalesce("to", "n_regionkey").alias("mi"))
+    fixed = spark.createDataFrame([(3, 4), (11, 2)], "n_nationkey int, to int")
+    return table(spark, d, "nation").join(F.broadcast(fixed), "n_nationkey", "left").select(F.col("n_nationkey").alias("si"), F.coalesce("to", "n_regionkey").alias("mi"))
 
 
 @query("ontology_fix_major", W + " SELECT enterprise, CASE WHEN enterprise % 3 = 0 THEN mi ELSE -1 END AS before, mi AS after FROM enterprises")
