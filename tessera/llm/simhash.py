@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, materialize, table
+from .near_copies import keep_first as keep_first  # the rule of the pipeline; fingerprints alone are op1's
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: (first bit, bits) of each block.
@@ -180,12 +181,6 @@ def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     return marked.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate component. Rows with a null id stay."""
-    gone = simhash_groups(docs, ident, text, words, bits).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(ident).cast("long") == F.col("__gone_id"), "left_anti")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
