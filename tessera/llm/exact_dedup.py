@@ -45,17 +45,24 @@ def keyed(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
     return rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
 
 
-def winners(rows: DataFrame, salts: int = 16) -> DataFrame:
-    """(digest, keep_id, group_size) of each content. ``rows`` as from keyed(), counted where they lie first."""
+def _best(rows: DataFrame, salts: int) -> DataFrame:
+    """(digest, best, n, contents): the least rank and the number of rows of each content."""
     best, n = F.min("best").alias("best"), F.sum("n").alias("n")
     # The salt is the place of reading, so a task sends one row for each content however many copies it holds.
     local = rows.select("digest", "norm", (F.spark_partition_id() % salts).alias("salt"), _rank(F.col("length"), F.col("doc_id")).alias("best"), F.lit(1).cast("long").alias("n"))
     salted = local.groupBy("digest", "salt", "norm").agg(best, n)
     whole = salted.groupBy("digest", "norm").agg(best, n)
-    # Two contents under one digest would be a SHA-256 collision: the job then fails rather than mix them.
-    return whole.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents")).select(
-        "digest", _ident(F.col("best")).alias("keep_id"), F.when(F.col("contents") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two contents under one digest"))).alias("group_size")
-    )
+    return whole.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents"))
+
+
+def _sole(x):
+    """Two contents under one digest would be a SHA-256 collision: the job then fails rather than mix them."""
+    return F.when(F.col("contents") == 1, x).otherwise(F.raise_error(F.lit("two contents under one digest")))
+
+
+def winners(rows: DataFrame, salts: int = 16) -> DataFrame:
+    """(digest, keep_id, group_size) of each content. ``rows`` as from keyed(), counted where they lie first."""
+    return _best(rows, salts).select("digest", _ident(F.col("best")).alias("keep_id"), _sole(F.col("n")).alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
@@ -65,10 +72,14 @@ def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", salt
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_unique(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Repeated rows of an id that stays are all kept."""
-    stay = exact_dedup(docs, ident, text).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(stay, F.col(ident).cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
+def keep_unique(docs: DataFrame, ident: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
+    """One row of ``docs`` for each content, with all its columns: the winner's, also where ids repeat or are null."""
+    stay = _best(keyed(docs, ident, text), salts).select(F.col("digest").alias("__digest"), _sole(F.col("best")).alias("__best"))
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(F.regexp_replace(raw, f"{SPACES}+", ""), 256))
+    ranked = docs.withColumns({"__digest": digest, "__best": _rank(F.char_length(raw), F.col(ident).cast("long"))})
+    # Copies differ in rank, so a large group of them is spread over tasks; rows alike in both meet in one.
+    return ranked.join(stay, ["__digest", "__best"], "left_semi").dropDuplicates(["__digest", "__best"]).drop("__digest", "__best")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

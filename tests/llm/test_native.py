@@ -54,3 +54,9 @@ def test_url_filter_matches_brute_force(spark):
         want = [(repr(i), h, p, repr(r), v) for i, u in rows for h, p, r, v in [slow_verdict(u, use)]]
         assert sorted(got) == sorted(want)
     assert urls.url_filter(pages.limit(0), urls.rules_frame(spark)).count() == 0
+
+
+def test_keep_unique_with_repeated_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (0, "c"), (None, "d"), (None, "d"), (None, "c"), (2, "e"), (2, "e ")]
+    kept = dedup.keep_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((repr(r.doc_id), r.text) for r in kept) == [("0", "c"), ("1", "a b"), ("2", "e "), ("None", "d")]
