@@ -99,3 +99,17 @@ def test_energy(spark, edges):
     assert row.tei == pytest.approx(0.4 * 0.3 + 0.3 / hops + 0.3 * (1 - mass))
     assert sum(p.values()) == pytest.approx(1)
     assert E.energy(covered.where(F.lit(False)), covered.withColumn("dist", F.lit(1)), ppr, 10).count() == 0
+
+
+def test_centrality_takes_every_edge(spark):
+    """Over 1,000 edges: the betweenness of the query is that of the whole graph."""
+    from tessera.plans.retrieval import QUERIES
+    from tessera.sources import surrogate as S
+
+    sf = "/root/testdata/sf0.01"
+    e = S.message_edges(spark, sf).select("src", "dst").localCheckpoint()
+    assert e.count() > 1000
+    want = {r.node: r.b for r in E.betweenness(e).collect()}
+    got = {r.node: r.betweenness for r in QUERIES["graph_centrality"](spark, sf).collect()}
+    assert set(want) <= set(got)
+    assert all(abs(b - want.get(node, 0.0)) < 2e-6 for node, b in got.items())
