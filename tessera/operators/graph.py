@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder; a local one only where the session names none."""
+    """Cuts lineage with a checkpoint in the shared folder. Only a local master that names none gets one of its own."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not known and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
