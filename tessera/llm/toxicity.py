@@ -1,17 +1,24 @@
 """Toxicity by a subsequence string kernel, Nystrom landmarks and a support vector machine.
 
-Kernel: the gap-weighted subsequence kernel of order P between two strings (matches may have gaps; each character
-spanned costs a factor DECAY), normalised by both self-kernels. An insult with inserted characters keeps most of
-its subsequences and so stays near the insult it was.
+Kernel: the gap-weighted subsequence kernel of order P between a unit and a landmark (matches may have gaps; each
+character spanned costs a factor DECAY). It is normalised in two ways, and the greater value counts:
+
+* by both self-kernels, for units that have two fifths of the landmark's neighbouring pairs and all but one of its
+  distinct characters (values under ``FLOOR`` count as zero);
+* in the space of the landmark's alphabet, for units that begin and end as the landmark does and are at most twice as
+  long, which leaves room for one character in every gap: there inserted characters cost the gaps that they make and nothing else. That cosine is scaled by the fourth root of the kernel's
+  share of the landmark's own (values under ``GAPPED`` count as zero), so an insult stays near itself with a character in every
+  gap, whatever pairs are left. By Cauchy-Schwarz the cosine is at most the share, in norm, of the landmark's
+  subsequences that the unit can have; units that this bound keeps below GAPPED are not compared, which never changes
+  a result.
 
 A sentence is seen through its units: its words, words with inner marks taken out, and runs of three or more single
-characters joined. Its similarity to a landmark is that of its nearest unit; similarities under ``FLOOR`` count as
-zero, as do those of units that lack two or more of the landmark's distinct characters or most of its neighbouring
-pairs. The landmarks are words that mark toxic documents of the training sample, unlike one another, and the clean
-words that come nearest to them. The similarities are mapped by K^(-1/2) of the landmarks (Nystrom), and a linear
-machine with squared hinge loss is trained on labelled sentences: all of clean documents against those of toxic
-documents that hold a marking word, which also come with characters inserted. A document's decision is that of its
-worst sentence, made a probability by logistic calibration on documents.
+characters joined. Its similarity to a landmark is that of its nearest unit. The landmarks are words that
+mark toxic documents of the training sample, unlike one another, and the clean words that come nearest to them. The
+similarities are mapped by K^(-1/2) of the landmarks (Nystrom), and a linear machine with squared hinge loss is
+trained on labelled sentences: all of clean documents against those of toxic documents that hold a marking word,
+which also come with characters inserted. A document's decision is that of its worst sentence, made a probability by
+logistic calibration on documents.
 
 Training takes a sample of at most ``most`` labelled documents of each class, of at most ``most_chars`` characters
 each, in the order of a hash of the id. Only ``labels.toxic`` and texts are read: no source, language or id is a
@@ -24,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-P, DECAY, FLOOR, WIDTH, STEMS = 3, 0.85, 0.3, 24, (4, 5, 6)
+P, DECAY, FLOOR, GAPPED, WIDTH, STEMS = 3, 0.85, 0.3, 0.75, 24, (4, 5, 6)
+#: Units are compared in matrices of these widths.
+_WIDTHS = (6, 8, 10, 12, 16, WIDTH)
 _SENTENCE, _TOKEN, _SPACED = re.compile(r"[.!?]+\s+|\n+"), re.compile(r"[^\s,;:|()\"“”]+"), re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 _MARKS, _OUTER = re.compile(r"[\W_]+"), ".!?%*$&'#@-_"
 
@@ -77,6 +87,35 @@ def ssk(s: np.ndarray, z: np.ndarray) -> np.ndarray:
     return total
 
 
+#: The self-kernel of a string of n characters is at least this: that of n different ones.
+_LEAST_NORM = np.array([sum(DECAY ** (2 * (k - i + 1)) for i, _, k in combinations(range(n), P)) * (1 - 1e-9) for n in range(WIDTH + 1)])
+
+
+class Bound:
+    """What a unit must share with a landmark for a cosine of GAPPED in the landmark's alphabet."""
+
+    def __init__(self, landmark: str):
+        weights: dict[tuple[str, ...], float] = {}
+        for i, j, k in combinations(range(len(landmark)), P):
+            u = landmark[i], landmark[j], landmark[k]
+            weights[u] = weights.get(u, 0.0) + DECAY ** (k - i + 1)
+        self.letters = sorted(set(landmark))
+        at = {x: n for n, x in enumerate(self.letters)}
+        self.triples = [(at[x], at[y], at[z], np.float32(w * w)) for (x, y, z), w in weights.items()]
+        self.least = np.float32(GAPPED**2 * sum(w * w for w in weights.values()) * (1 - 1e-5))
+
+    def rows(self, c: np.ndarray) -> np.ndarray:
+        """The units whose order of characters leaves enough of the landmark's subsequences possible: x stands before y
+        somewhere only if the first x stands before the last y."""
+        there = [c == np.uint32(ord(x)) for x in self.letters]
+        head = [np.where(t.any(axis=1), t.argmax(axis=1), c.shape[1]) for t in there]
+        tail = [np.where(t.any(axis=1), c.shape[1] - 1 - t[:, ::-1].argmax(axis=1), -1) for t in there]
+        total = np.zeros(len(c), np.float32)
+        for x, y, z, w in self.triples:
+            total += ((head[x] < tail[y]) & (head[y] < tail[z]) & (head[x] < tail[z])) * w
+        return np.flatnonzero(total >= self.least)
+
+
 def masks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bit sets of the characters and of the neighbouring pairs of each row."""
     one, two = np.zeros(len(c), np.uint64), np.zeros(len(c), np.uint64)
@@ -95,12 +134,14 @@ class Model:
     bias: float = 0.0
     slope: float = 0.0
     shift: float = 0.0
+    unseen: float = 0.0
 
     def __post_init__(self):
         self.codes = [codes([z])[:, : max(len(z), 1)] for z in self.landmarks]
+        self.bounds = [Bound(z) for z in self.landmarks]
+        self.norms = [float(ssk(c, c)[0]) for c in self.codes]
         self.masks = masks(codes(self.landmarks)) if self.landmarks else (np.zeros(0, np.uint64),) * 2
         self.need = np.maximum(np.bitwise_count(self.masks[0]).astype(np.int64) - 1, 1), -(-2 * np.bitwise_count(self.masks[1]).astype(np.int64) // 5)
-        self.norms = [float(ssk(c, c)[0]) for c in self.codes]
 
     def similarities(self, words: list[str]) -> np.ndarray:
         """(words, landmarks). Longer words are seen in windows of WIDTH that overlap by half."""
@@ -109,20 +150,42 @@ class Model:
             for a in range(0, max(len(w) - WIDTH // 2, 1), WIDTH // 2):
                 parts.append(w[a : a + WIDTH])
                 of.append(k)
-        c, of = codes(parts), np.array(of, np.int64)
-        (one, two), own = masks(c), np.full(len(parts), np.nan)
+        of, sizes = np.array(of, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        width = np.searchsorted(_WIDTHS, sizes)
+        for n, size in enumerate(_WIDTHS):
+            mine = np.flatnonzero(width == n)
+            if len(mine):
+                self._compare(codes([parts[k] for k in mine.tolist()], size), sizes[mine], of[mine], out)
+        return out
+
+    def _compare(self, c: np.ndarray, sizes: np.ndarray, of: np.ndarray, out: np.ndarray) -> None:
+        (one, two), own = masks(c), np.full(len(c), np.nan)
+        ends: dict[tuple[int, int], list[int]] = {}
+        for k, pair in enumerate(zip(c[:, 0].tolist(), c[np.arange(len(c)), np.maximum(sizes - 1, 0)].tolist())):
+            ends.setdefault(pair, []).append(k)
         for j, z in enumerate(self.codes):
-            near = np.flatnonzero((np.bitwise_count(one & self.masks[0][j]) >= self.need[0][j]) & (np.bitwise_count(two & self.masks[1][j]) >= self.need[1][j]))
-            if not len(near) or not self.norms[j]:
+            if not self.norms[j]:
                 continue
-            new = near[np.isnan(own[near])]
+            rows = np.flatnonzero((np.bitwise_count(one & self.masks[0][j]) >= self.need[0][j]) & (np.bitwise_count(two & self.masks[1][j]) >= self.need[1][j]))
+            found = ssk(c[rows], z)
+            ok = found >= FLOOR * np.sqrt(_LEAST_NORM[sizes[rows]] * self.norms[j])
+            rows, found = rows[ok], found[ok]
+            new = rows[np.isnan(own[rows])]
             if len(new):
                 own[new] = ssk(c[new], c[new])
-            value = ssk(c[near], z) / np.sqrt(np.maximum(own[near], 1e-12) * self.norms[j])
-            value[value < FLOOR] = 0
-            np.maximum.at(out[:, j], of[near], value.astype(np.float32))
-        return out
+            self._keep(out[:, j], of[rows], found / np.sqrt(np.maximum(own[rows], 1e-12) * self.norms[j]), FLOOR)
+            rows = np.array(ends.get((int(z[0, 0]), int(z[0, -1])), ()), np.int64)
+            rows = rows[sizes[rows] <= 2 * z.shape[1]]
+            rows = rows[self.bounds[j].rows(c[rows])]
+            if len(rows):
+                found, inside = ssk(c[rows], z), np.where(np.isin(c[rows], z[0]), c[rows], np.uint32(0))
+                cosine = found / np.sqrt(np.maximum(ssk(inside, inside), 1e-12) * self.norms[j])
+                self._keep(out[:, j], of[rows], cosine * np.minimum(found / self.norms[j], 1) ** 0.25, GAPPED)
+
+    @staticmethod
+    def _keep(out: np.ndarray, of: np.ndarray, value: np.ndarray, floor: float) -> None:
+        np.maximum.at(out, of, np.where(value < floor, 0, np.minimum(value, 1)).astype(np.float32))
 
     def of_tokens(self, found: list[str]) -> np.ndarray:
         """(tokens, landmarks): the best of each token's forms."""
@@ -137,7 +200,7 @@ class Model:
         return out
 
     def probability(self, decision):
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(decision) + self.shift, -40, 40)))
+        return self.unseen + (1 - self.unseen) / (1 + np.exp(-np.clip(self.slope * np.asarray(decision) + self.shift, -40, 40)))
 
     def scorer(self):
         """text -> score. Similarities of units are kept between texts, up to a bound."""
@@ -255,7 +318,7 @@ def train(texts: list[str], labels: list[int], marking: int = 40, clean: int = 1
                 rows.append(sims[own].max(axis=0))
                 target.append(-1 if not label else 1 if telling & parts else 0)
                 of.append(d)
-    inserted = [u[:i] + m + u[i:] for u in marks for i in range(2, len(u) - 1) for m in "-xe"] + [u[:2] + u[1:] for u in marks]
+    inserted = [u[:i] + m + u[i:] for u in marks for i in range(2, len(u) - 1) for m in "-xe"] + [u[:2] + u[1:] for u in marks] + ["x".join(u) for u in marks]
     rows += [*model.of_tokens(inserted), np.zeros(len(model.landmarks), np.float32)]
     target += [1] * len(inserted) + [-1]
     x, target = np.array(rows, np.float64), np.array(target)
@@ -280,18 +343,25 @@ def train(texts: list[str], labels: list[int], marking: int = 40, clean: int = 1
 
     decision = np.full(len(texts), model.bias)
     np.maximum.at(decision, np.array(of, np.int64), x[: len(of)] @ model.weights + model.bias)
-    a, b = 1.0, 0.0
+    # Logistic calibration with smoothed targets, beside a share of toxic documents that no unit gives away: those
+    # say nothing about how sure a high decision is. The share and the curve are fitted in turn (EM).
+    a, b, unseen = 1.0, 0.0, 0.01
     mean = np.array([(y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)])
     goal = np.where(y == 1, mean[0], mean[1])
-    for _ in range(100):  # logistic calibration with smoothed targets
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * decision + b, -30, 30)))
-        g = np.array([((p - goal) * decision).sum(), (p - goal).sum()])
-        v = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(v * decision**2).sum() + 1e-6, (v * decision).sum()], [(v * decision).sum(), v.sum() + 1e-6]])
-        move = np.linalg.solve(h, g)
-        a, b = a - move[0], b - move[1]
-        if np.abs(move).max() < 1e-8:
-            break
+        hidden = np.where(y == 1, unseen / (unseen + (1 - unseen) * p), 0.0)
+        unseen = float(np.clip(hidden.mean(), 1e-6, 0.3))
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-np.clip(a * decision + b, -30, 30)))
+            g = np.array([((1 - hidden) * (p - goal) * decision).sum(), ((1 - hidden) * (p - goal)).sum()])
+            v = np.maximum((1 - hidden) * p * (1 - p), 1e-9)
+            h = np.array([[(v * decision**2).sum() + 1e-6, (v * decision).sum()], [(v * decision).sum(), v.sum() + 1e-6]])
+            move = np.linalg.solve(h, g)
+            a, b = a - move[0], b - move[1]
+            if np.abs(move).max() < 1e-8:
+                break
+    model.unseen = unseen
     model.slope, model.shift = (float(a), float(b)) if a > 0 else (4.0, 0.0)
     return model
 
