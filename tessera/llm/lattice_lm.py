@@ -10,9 +10,9 @@ The vocabulary's scores start from the order in which it stores its pieces (Zipf
 ``rounds`` of expectation-maximisation over all training words, each word once, since pieces only stand in for rare
 words; pieces keep a small prior. Only piece totals, at most one for each piece, come to the driver.
 
-The base score is an add-one unigram of words. Word counts are needed for each word of each document: the words
-of up to ``common`` most frequent training words (chosen by a count threshold, so their number is bounded) are sent
-to every executor, all rarer ones are joined by the word.
+The base score is an add-one unigram of words. Each distinct word of the corpus is counted once and scored once, in
+one table. A document needs the scores of its own words: those of up to ``common`` most frequent words (chosen by a
+count threshold, so their number is bounded) are sent to every executor, all rarer ones are joined by the word.
 
 Training takes the documents whose crc32(doc_id as text) mod 7 is not 2, all of them. Null text counts as empty and
 scores its end symbol; a null id counts as the text ''. Repeated rows each count and each get a score. Without
@@ -24,10 +24,12 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .hashing import Table
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Words kept between batches in a task; bytes up to which words share matrices.
-_KNOWN, _SHORT = 1 << 19, 64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Words kept between batches in a task; bytes up to which words share matrices; bytes of a text, and tokens, in hand.
+_KNOWN, _SHORT, _TEXT, _TOKENS = 1 << 19, 64, 1 << 22, 1 << 20
 
 
 def default_vocabulary() -> str:
@@ -47,8 +48,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+def words_of(data: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text with A-Z lowered, some megabytes of it at a time. bytes.split() and bytes.lower()
+    know ASCII alone, which is what the separators and the letters here are."""
+    at = 0
+    while data and at < len(data):
+        end = _SPACE.search(data, at + _TEXT) if len(data) - at > _TEXT else None
+        yield data[at : end.start() if end else len(data)].lower().split()
+        at = end.start() if end else len(data)
+
+
+class Ids(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Vocabulary:
@@ -142,9 +157,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _matrices(words: list[str]):
+def _matrices(words: list[bytes] | list[str]):
     """The words as padded byte matrices by length, a space before each: (indices, data, sizes)."""
-    raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
+    raw = [b" " + (w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass")) for w in words]
     buckets: dict[int, list[int]] = {}
     for k, b in enumerate(raw):
         size = len(b)
@@ -157,7 +172,7 @@ def _matrices(words: list[str]):
             yield np.array(part), data, np.fromiter((len(raw[k]) for k in part), np.int64, len(part))
 
 
-def word_scores(vocab: Vocabulary, logp: np.ndarray, words: list[str]) -> np.ndarray:
+def word_scores(vocab: Vocabulary, logp: np.ndarray, words: list) -> np.ndarray:
     """The natural log of each word's probability, over all its segmentations."""
     out = np.empty(len(words))
     for index, data, sizes in _matrices(words):
@@ -165,7 +180,7 @@ def word_scores(vocab: Vocabulary, logp: np.ndarray, words: list[str]) -> np.nda
     return out
 
 
-def expected(vocab: Vocabulary, logp: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+def expected(vocab: Vocabulary, logp: np.ndarray, words: list, counts: np.ndarray) -> np.ndarray:
     """Expected number of times that each piece is used in the words, each seen ``counts`` times."""
     out = np.zeros(vocab.n)
     for index, data, sizes in _matrices(words):
@@ -181,30 +196,39 @@ def _held(ident, mod: int, value: int):
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % mod == value
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c) over whole texts; '' stands for the end symbol. Words are combined before they are sent."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, c, t) over the whole texts of (data, held_out): c counts training rows alone, t all. The empty word
+    stands for the end symbol. Words are combined before they are sent."""
+
+    def sent(train, held):
+        words = list(train.keys() | held.keys())
+        c = np.fromiter((train[w] for w in words), np.int64, len(words))
+        t = c + np.fromiter((held[w] for w in words), np.int64, len(words))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(t)], ["word", "c", "t"])
 
     def run(batches):
-        counts: Counter[str] = Counter()
+        train, held = Counter(), Counter()
         for batch in batches:
-            for t in batch["text"]:
-                counts.update(words_of(t))
-                counts[""] += 1
-                if len(counts) > _KNOWN:
-                    yield pd.DataFrame({"word": list(counts), "c": list(counts.values())})
-                    counts.clear()
-        if counts:
-            yield pd.DataFrame({"word": list(counts), "c": list(counts.values())})
+            for data, out in zip(batch.column("data"), batch.column("held_out").to_pylist()):
+                counts = held if out else train
+                counts[b""] += 1
+                for words in words_of(data.as_py()):
+                    counts.update(words)
+                if len(train) + len(held) > _KNOWN:
+                    yield sent(train, held)
+                    train, held = Counter(), Counter()
+        if train or held:
+            yield sent(train, held)
 
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("data", "held_out").mapInArrow(run, "word binary, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def fit(counts: DataFrame, path: str, rounds: int = 2, prior: float = 0.01) -> tuple[np.ndarray, float]:
     """(log-probability of each piece, that of the end of a word), from all training words."""
     vocab, spark = vocabulary(path), counts.sparkSession
     logp, end = vocab.first_scores(), float(np.log(0.1))
-    types = counts.where("word <> ''").count()
+    words = counts.where((F.col("c") > 0) & (F.length("word") > 0)).select("word")
+    types = words.count()
     for _ in range(rounds if types else 0):
         sent = spark.sparkContext.broadcast(logp)
 
@@ -217,7 +241,7 @@ def fit(counts: DataFrame, path: str, rounds: int = 2, prior: float = 0.01) -> t
                 used = np.flatnonzero(total)
                 yield pd.DataFrame({"piece": used, "c": total[used]})
 
-        rows = counts.select("word").where("word <> ''").mapInPandas(run, "piece long, c double").groupBy("piece").agg(F.sum("c").alias("c")).orderBy("piece").toPandas()
+        rows = words.mapInPandas(run, "piece long, c double").groupBy("piece").agg(F.sum("c").alias("c")).orderBy("piece").toPandas()
         total = np.full(vocab.n, prior)
         total[rows["piece"].to_numpy(np.int64)] += rows["c"].to_numpy(np.float64)
         whole = total.sum() + types
@@ -225,80 +249,94 @@ def fit(counts: DataFrame, path: str, rounds: int = 2, prior: float = 0.01) -> t
     return logp, end
 
 
-def frequent(counts: DataFrame, most: int) -> tuple[dict[str, int], int]:
-    """(words, threshold): all words counted at least threshold times, ``most`` of them or fewer."""
-    level = (F.log2(F.col("c").cast("double")) * 16).cast("int")
-    sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for value, n in sizes:  # at most some thousand levels
-        if total + n > most:
+def word_table(counts: DataFrame, path: str, logp: np.ndarray, end: float, n: int, v: int, seen: float) -> DataFrame:
+    """(word, c, t, base, score): the log10 scores of each distinct word, each made once."""
+    sent = counts.sparkSession.sparkContext.broadcast(logp)
+    floor = float(np.log10(n + v + 1))
+
+    def run(batches):
+        vocab = vocabulary(path)
+        for batch in batches:
+            c = batch.column("c").to_numpy()
+            pieces = word_scores(vocab, sent.value, batch.column("word").to_pylist()) + end + np.log(1 - seen)
+            with np.errstate(divide="ignore"):  # in log space: a long word's pieces underflow
+                score = np.logaddexp(np.log(c * (seen / max(n, 1))), pieces) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("word", "c", "t")), pa.array(np.log10(c + 1.0) - floor), pa.array(score)], ["word", "c", "t", "base", "score"])
+
+    return counts.select("word", "c", "t").mapInArrow(run, "word binary, c long, t long, base double, score double")
+
+
+def threshold(counts: DataFrame, most: int) -> int:
+    """The least count such that ``most`` words or fewer have it."""
+    level = (F.log2(F.col("t").cast("double")) * 16).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("least")).collect()
+    total, least = 0, 1 << 62
+    for row in sorted(sizes, key=lambda r: -r["level"]):  # at most some thousand levels
+        total += row["n"]
+        if total > most:
             break
-        total, least = total + n, value
-    if least is None:
-        return {}, 1 << 62
-    cut = counts.where(level >= least)
-    return {r["word"]: r["c"] for r in cut.collect()}, least
+        least = row["least"]
+    return least
 
 
-def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", mod: int = 7, value: int = 2, path: str | None = None, common: int = 100_000, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", mod: int = 7, value: int = 2, path: str | None = None, common: int = 200_000, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     path = path or default_vocabulary()
     spark = docs.sparkSession
-    rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"), _held(F.col(ident), mod, value).alias("held_out"))
-    counts = materialize(count_words(rows.where("not held_out")), "words")
-    n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
+    rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"), _held(F.col(ident), mod, value).alias("held_out"))
+    counts = materialize(count_words(rows), "words")
+    n, v, once = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
     seen = min(max(1 - once / n, 1e-6), 1 - 1e-6) if n else 0.0
-    logp, end = fit(counts, path, rounds)
-    known, _ = frequent(counts, common)
-    known.setdefault("", n and counts.where("word = ''").first()["c"])
-    words = list(known)
-    lattice = word_scores(vocabulary(path), logp, words) + end
-    mixed = np.log10(np.array([known[w] for w in words]) * (seen / max(n, 1)) + (1 - seen) * np.exp(lattice))
-    floor = float(np.log10(n + v + 1))
-    sent = spark.sparkContext.broadcast((logp, {w: (float(np.log10(known[w] + 1)) - floor, float(m), known[w] > 0) for w, m in zip(words, mixed)}))
-    types = dict(rows.dtypes)
+    scored = materialize(word_table(counts, path, *fit(counts, path, rounds), n, v, seen), "word-scores")
+    often = (F.col("t") >= threshold(counts, common)) | (F.length("word") == 0)
+    known = scored.where(often).collect()  # ``common`` words and the end symbol at most
+    known.sort(key=lambda r: len(r["word"]) > 0)  # the end symbol comes first
+    sent = spark.sparkContext.broadcast(([bytes(r["word"]) for r in known], *(np.array([r[k] for r in known], np.float64) for k in ("base", "score", "c"))))
+    kinds = {"row": pa.int64(), "word": pa.binary(), "f": pa.int64(), "doc_id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
 
     def run(batches):
-        (logp, common_words), vocab = sent.value, vocabulary(path)
-        part, number, cache = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, 0, {}
-        end_base, end_score, end_known = common_words[""]
+        words, base, model, count = sent.value
+        first = Ids((w, k) for k, w in enumerate(words))
+        ids, size, number = Ids(first), len(first), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+
+        def made(like, **cols):
+            n = len(next(iter(cols.values())))
+            return pa.RecordBatch.from_arrays([cols[k] if k in cols else pa.nulls(n, t or like) for k, t in kinds.items()], list(kinds))
+
         for batch in batches:
-            texts, at = batch["text"].tolist(), 0
+            like, at = batch.column("doc_id").type, 0
+            texts = batch.column("data")
             while at < len(texts):
-                own, size, begin = [], 0, at
-                while at < len(texts) and (size < 4_000_000 or not own):
-                    own.append(Counter(words_of(texts[at])))
-                    size += len(texts[at] or "")
+                own, of, begin, held = [], [], at, 0
+                while at < len(texts) and held < _TOKENS:
+                    tokens = [np.fromiter(map(ids.__getitem__, part), np.int64, len(part)) for part in words_of(texts[at].as_py())]
+                    own += [np.zeros(1, np.int64), *tokens]  # the end symbol is number 0
+                    of.append(1 + sum(map(len, tokens)))
+                    held += of[-1]
                     at += 1
-                new = [w for w in set().union(*own) if w not in common_words and w not in cache]
-                cache.update(zip(new, (word_scores(vocab, logp, new) + end).tolist()))
-                out: list[tuple] = []
-                for k, tf in enumerate(own, begin):
-                    row = part | number
-                    number += 1
-                    base, model, good, tokens = end_base, end_score, int(end_known), 1
-                    for w, f in tf.items():
-                        tokens += f
-                        if (hit := common_words.get(w)) is not None:
-                            base += f * hit[0]
-                            model += f * hit[1]
-                            good += f * hit[2]
-                        else:
-                            out.append((row, w, f, None, None, None, None, None, cache[w]))
-                    # One row for the document itself, under a key that no word can have.
-                    out.append((row, f" {row}", None, batch["doc_id"].iat[k], bool(batch["held_out"].iat[k]), tokens, good, base, model))
-                yield pd.DataFrame(out, columns=["row", "word", "f", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]).astype({"f": "Int64", "n_tokens": "Int64", "n_known": "Int64", "held_out": "boolean"})
-                if len(cache) > _KNOWN:
-                    cache.clear()
-
-    parts = rows.mapInPandas(run, f"row long, word string, f long, doc_id {types['doc_id']}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    joined = parts.join(counts, "word", "left")
-    tail = F.col("f") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(floor))
-    pieces = F.col("score") / float(np.log(10)) + float(np.log10(1 - seen))
-    word = F.col("f") * F.when(F.col("c") > 0, F.log10(F.col("c") * (seen / max(n, 1)) + (1 - seen) * F.exp("score"))).otherwise(pieces)
+                token, sizes = np.concatenate(own), np.array(of)
+                doc, often = np.repeat(np.arange(len(of)), sizes), token < size
+                total = lambda x: np.bincount(doc[often], x[token[often]], len(of))  # noqa: B023, E731
+                # The document itself is a row under a key that no word can have.
+                yield made(
+                    like, row=pa.array(number + np.arange(len(of))), word=pa.array([b" %d" % k for k in range(number, number + len(of))], pa.binary()), doc_id=batch.column("doc_id").slice(begin, len(of)),
+                    held_out=batch.column("held_out").slice(begin, len(of)), n_tokens=pa.array(sizes), n_known=pa.array(total(count > 0).astype(np.int64)), base=pa.array(total(base)), score=pa.array(total(model)),
+                )
+                pair, f = np.unique(doc[~often] * len(ids) + token[~often], return_counts=True)
+                if len(pair):
+                    names = list(ids)
+                    yield made(like, row=pa.array(number + pair // len(ids)), word=pa.array([names[k] for k in (pair % len(ids)).tolist()], pa.binary()), f=pa.array(f))
+                number += len(of)
+                if len(ids) > size + _KNOWN:
+                    ids = Ids(first)
+
+    parts = rows.mapInArrow(run, f"row long, word binary, f long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rare = scored.where(~often).select("word", F.col("c").alias("w_c"), F.col("base").alias("w_base"), F.col("score").alias("w_score"))
+    joined = parts.join(rare, "word", "left")
+    added = lambda name: F.max(name) + F.coalesce(F.sum(F.col("f") * F.col(f"w_{name}")), F.lit(0.0))
     total = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("f"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(tail), F.lit(0.0))).alias("base_score"), F.sum(F.when(F.col("f").isNull(), F.col("score")).otherwise(word)).alias("score"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+        (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("w_c") > 0, F.col("f"))), F.lit(0))).alias("n_known"), added("base").alias("base_score"), added("score").alias("score"),
     )
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

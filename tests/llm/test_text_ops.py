@@ -170,6 +170,31 @@ def test_base_scores(spark, common):
     assert all(again[r.doc_id, r.n_tokens] == pytest.approx(r.score) for r in got if r.doc_id != 5)
 
 
+@pytest.mark.parametrize("common", [1000, 3])
+def test_scores_match_brute_force(spark, common, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "_TEXT", 40)
+    rnd = random.Random(19)
+    vocab = ["".join(rnd.choices("abcé", k=rnd.randint(1, 4))) for _ in range(40)]
+    rows = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(0, 60))) + rnd.choice(["", "\tRare%d" % i, "\u00a0x"])) for i in range(40)] + [(7, None), (None, "a"), (3, "a " * 3000)]
+    docs = spark.createDataFrame([(*r, 0.0, "w") for r in rows], "doc_id long, text string, score double, word string")
+    from collections import Counter
+
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ""]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, seen = sum(counts.values()), 1 - sum(c == 1 for c in counts.values()) / sum(counts.values())
+    path, vocabulary = lattice_lm.default_vocabulary(), lattice_lm.vocabulary(lattice_lm.default_vocabulary())
+    logp, end = lattice_lm.fit(spark.createDataFrame([(bytearray(w.encode()), c, c) for w, c in counts.items()], "word binary, c long, t long"), path, rounds=1)
+
+    def of(word):  # the pieces' own sums are held against all segmentations in another test
+        pieces = float(lattice_lm.word_scores(vocabulary, logp, [word])[0]) + end
+        return np.log10(seen * counts[word] / n + (1 - seen) * np.exp(pieces))
+
+    want = sorted((repr(i), len(tokens(t)), round(sum(map(of, tokens(t))), 6)) for i, t in rows)
+    got = lattice_lm.score(docs, common=common, rounds=1).collect()
+    assert sorted((repr(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
 def test_lm_without_training_rows(spark):
     assert lattice_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
@@ -189,6 +214,18 @@ def test_kernel_counts_gapped_subsequences():
         assert toxicity.ssk(toxicity.codes([s]), toxicity.codes([t])[:, : len(t)])[0] == pytest.approx(want)
 
 
+def test_gaps_in_every_place_keep_an_insult_near(monkeypatch):
+    model = toxicity.Model(["stupid", "idiot", "worthless"])
+    words = ["stuxpid", "sxtxuxpxixd", "ixdxixoxt", "i1d2i3o4t", "wxoxrxtxhxlxexsxs", "studied", "outside", "", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    near = model.similarities(words).max(axis=1)
+    assert near[:5].min() > 0.8 and near[5:].max() < 0.5
+    rnd = random.Random(4)
+    some = ["".join(rnd.choices("idotx", k=rnd.randint(1, 12))) for _ in range(3000)] + ["i" + "".join(rnd.choices("idot", k=rnd.randint(1, 8))) + "t" for _ in range(500)]
+    got = model.similarities(some)
+    monkeypatch.setattr(toxicity.Bound, "rows", lambda self, c: np.arange(len(c)))
+    assert (got == model.similarities(some)).all()  # the bound only saves work
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(*toxicity.sample(docs, labels))
