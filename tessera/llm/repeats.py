@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ from .common import materialize, table
 WINDOW, K = 400, 32
 #: Windows seen at a time: long documents go in blocks. Bits of each Bloom filter.
 _BLOCK, _BITS = 1 << 20, 1 << 26
+#: Bits of a place within a block and the windows that begin in it.
+_PLACE = 22
+#: Hashes made at a time; bytes of pieces compared at a time.
+_CACHED, _COMPARED = 1 << 14, 1 << 22
 _KEY = ["km", "dlo", "dhi", "ex"]
 
 
@@ -43,17 +48,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    return x
+
+
+#: A random number for each byte: the hash of a string of one.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every string of ``size`` bytes (any size), by doubling."""
-    powers, n = {1: _mix(data.astype(np.uint64) + np.uint64(1))}, 1
-    join = lambda a, b, n: _mix(a[: len(a) - n] * np.uint64(0x9E3779B97F4A7C15) + _mix(b[n:] + np.uint64(n)))
-    while 2 * n <= size:
-        powers[2 * n] = join(powers[n], powers[n], n)
-        n *= 2
-    if n == size or len(data) < size:
-        return powers[n] if n == size else np.empty(0, np.uint64)
-    m = len(data) - size + 1  # two overlapping strings of the largest power that fits
-    return _mix(powers[n][:m] * np.uint64(0x9E3779B97F4A7C15) + _mix(powers[n][size - n : size - n + m] + np.uint64(size)))
+    if len(data) < size:
+        return np.empty(0, np.uint64)
+    out = np.empty(len(data) - size + 1, np.uint64)
+    for at in range(0, len(out), _CACHED):  # pieces that stay in the processor's cache
+        h, n = _BYTES[data[at : at + _CACHED + size - 1]], 1
+        while 2 * n <= size:
+            h = _join(h[:-n], h[n:])
+            n *= 2
+        m = min(_CACHED, len(out) - at)
+        # two overlapping strings of the largest power that fits
+        out[at : at + m] = h[:m] if n == size else _mix(_join(h[:m], h[size - n : size - n + m]))
+    return out
 
 
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -66,18 +86,14 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 def pieces(text: bytes, window: int = WINDOW, k: int = K):
     """Yields (anchor hash, first window, last window, anchor place) for all windows of a text, each in one piece."""
-    width = window - k + 1
+    width, low = window - k + 1, np.uint64((1 << _PLACE) - 1)
     for base in range(0, max(len(text) - window + 1, 0), _BLOCK):
-        data = np.frombuffer(text, np.uint8)[base : base + _BLOCK + window - 1]
-        h = string_hashes(data, k)
-        least = window_minima(h, width)
-        starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1)).tolist()
-        for i, end, value in zip(starts, [*starts[1:], len(least)], least[starts].tolist()):
-            while i < end:
-                place = i + int(np.argmax(h[i : i + width] == np.uint64(value)))
-                last = min(end - 1, place)  # beyond it, the same string further on is the anchor
-                yield value, base + i, base + last, base + place
-                i = last + 1
+        h = string_hashes(np.frombuffer(text, np.uint8)[base : base + _BLOCK + window - 1], k)
+        # The place fills the low bits, so the least number is the leftmost of the least hashes.
+        at = (window_minima(h & ~low | np.arange(len(h), dtype=np.uint64), width) & low).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        yield from zip(h[at[first]].tolist(), (base + first).tolist(), (base + last).tolist(), (base + at[first]).tolist())
 
 
 def _signed(x: int) -> int:
@@ -110,23 +126,18 @@ def _inside(filter_words: np.ndarray, km: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decided(ctx: list[bytes], dlo: np.ndarray, dhi: np.ndarray, n: np.ndarray, window: int):
-    """For contents of one anchor string: (content, place d, whether its window repeats). A content holds the windows
-    d = dhi..dlo bytes before the anchor, in this order."""
-    which, place, value = [], [], []
-    for k, data in enumerate(ctx):
-        h = string_hashes(np.frombuffer(data, np.uint8), window)
-        which.append(np.full(len(h), k))
-        place.append(dhi[k] - np.arange(len(h)))
-        value.append(h)
-    which, place, value = np.concatenate(which), np.concatenate(place), np.concatenate(value)
-    order = np.lexsort((value, place))
-    new = np.concatenate(([True], (place[order][1:] != place[order][:-1]) | (value[order][1:] != value[order][:-1])))
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, n[which[order]])
-    again = np.empty(len(which), bool)
-    again[order] = total[group] >= 2
-    return which, place, value, again
+def _decided(group: np.ndarray, ctx: list[bytes], dhi: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contents, sorted by the group of their anchor string: (end of each content's windows, whether each window
+    repeats in its group). A content holds the windows dhi, dhi - 1, ... bytes before its anchor, in this order."""
+    sizes = np.fromiter(map(len, ctx), np.int64, len(ctx))
+    windows, begins = sizes - window + 1, np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    ends = np.cumsum(windows)
+    step = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
+    value = string_hashes(np.frombuffer(b"".join(ctx), np.uint8), window)[np.repeat(begins, windows) + step]
+    # Equal windows of a group are equally far from the anchor: both go into the key with the window's hash.
+    place = (np.repeat(group.astype(np.uint64) << np.uint64(32), windows)) + (np.repeat(dhi.astype(np.int64), windows) - step).astype(np.uint64)
+    found, index = np.unique(_join(_mix(place), value), return_inverse=True)
+    return ends, np.bincount(index, np.repeat(n, windows), len(found))[index] >= 2
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -134,7 +145,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, most_in_task: int = 16384) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, most_in_task: int = 512) -> DataFrame:
     """(doc_id, h, s, e): byte spans that repeated windows cover. ``docs`` has (doc_id, h, data)."""
     spark = docs.sparkSession
     schema = "km long, dlo int, dhi int, ex long"
@@ -212,17 +223,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, most_in_ta
 
     def compared(batch):
         km = batch.column("km").to_numpy()
-        cuts = [0, *(np.flatnonzero(km[1:] != km[:-1]) + 1).tolist(), len(km)]
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("dlo", "dhi", "n", "doc_id", "h", "place")}
-        ctx, out = batch.column("ctx").to_pylist(), []
-        for a, b in zip(cuts, cuts[1:]):
-            which, _, _, again = _decided(ctx[a:b], cols["dlo"][a:b], cols["dhi"][a:b], cols["n"][a:b], window)
-            ends = np.cumsum(np.bincount(which, minlength=b - a))
-            for j in np.flatnonzero(cols["n"][a:b] == 1).tolist():
-                first = int(cols["place"][a + j] - cols["dhi"][a + j])
-                for x, y in _runs(again[ends[j - 1] if j else 0 : ends[j]]):
-                    out.append((int(cols["doc_id"][a + j]), int(cols["h"][a + j]), first + x, first + y + window))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 4)], ["doc_id", "h", "s", "e"])
+        group = np.cumsum(np.concatenate(([0], km[1:] != km[:-1])))
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("dhi", "n", "doc_id", "h", "place")}
+        sizes = pc.binary_length(batch.column("ctx")).to_numpy(zero_copy_only=False)
+        # Whole groups at a time, as many as fit: a group has at most most_in_task contents.
+        starts, room = np.concatenate(([0], np.flatnonzero(km[1:] != km[:-1]) + 1, [len(km)])), np.concatenate(([0], np.cumsum(sizes)))
+        i = 0
+        while i < len(starts) - 1:
+            j = max(i + 1, int(np.searchsorted(room[starts], room[starts[i]] + _COMPARED, "right")) - 1)
+            a, b, out = int(starts[i]), int(starts[j]), []
+            i = j
+            ends, again = _decided(group[a:b] - group[a], batch.column("ctx").slice(a, b - a).to_pylist(), cols["dhi"][a:b], cols["n"][a:b], window)
+            for k in np.flatnonzero((cols["n"][a:b] == 1) & (np.add.reduceat(again, np.concatenate(([0], ends[:-1]))) > 0)).tolist():
+                first = int(cols["place"][a + k] - cols["dhi"][a + k])
+                for x, y in _runs(again[ends[k - 1] if k else 0 : ends[k]]):
+                    out.append((int(cols["doc_id"][a + k]), int(cols["h"][a + k]), first + x, first + y + window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 4)], ["doc_id", "h", "s", "e"])
 
     def spread(batches):
         for batch in batches:
@@ -257,7 +273,7 @@ def prepared(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(ident).cast("long").alias("real_id"), F.coalesce(F.col(ident).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(data).alias("h"), data.cast("binary").alias("data"))
 
 
-def removed(docs: DataFrame, ident: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, most_in_task: int = 16384, keep_bytes: bool = True) -> DataFrame:
+def removed(docs: DataFrame, ident: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, most_in_task: int = 512, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes left, of every row."""
     rows = prepared(docs, ident, text)
     spans = repeated_spans(rows.drop("real_id"), window, k, most_in_task).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
