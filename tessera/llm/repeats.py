@@ -34,7 +34,7 @@ from .common import materialize, table
 
 WINDOW, K = 400, 32
 #: Windows seen at a time: long documents go in blocks. Bits of each Bloom filter.
-_BLOCK, _BITS = 1 << 20, 1 << 26
+_BLOCK, _BITS = 1 << 20, 1 << 24
 #: Bits of a place within a block and the windows that begin in it.
 _PLACE = 22
 #: Hashes made at a time; bytes of pieces compared at a time.
@@ -145,7 +145,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, most_in_task: int = 512) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, most_in_task: int = 16384) -> DataFrame:
     """(doc_id, h, s, e): byte spans that repeated windows cover. ``docs`` has (doc_id, h, data)."""
     spark = docs.sparkSession
     schema = "km long, dlo int, dhi int, ex long"
@@ -273,7 +273,7 @@ def prepared(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(ident).cast("long").alias("real_id"), F.coalesce(F.col(ident).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(data).alias("h"), data.cast("binary").alias("data"))
 
 
-def removed(docs: DataFrame, ident: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, most_in_task: int = 512, keep_bytes: bool = True) -> DataFrame:
+def removed(docs: DataFrame, ident: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, most_in_task: int = 16384, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes left, of every row."""
     rows = prepared(docs, ident, text)
     spans = repeated_spans(rows.drop("real_id"), window, k, most_in_task).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
