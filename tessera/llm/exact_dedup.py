@@ -2,7 +2,8 @@
 
 Texts are equal when they are identical after every ASCII white-space character is deleted. Copies are first
 combined where they were read, then per (digest, salt), then the salts' winners per digest. The whole normalised
-text is part of every grouping key, so content decides at each stage and the digest only places rows. Of equal
+text is part of every grouping key, so content decides at each stage and the digest only places rows. The winners are joined
+back to the rows with the largest groups' ones sent to every task, so their rows aren't gathered either. Of equal
 texts the row with the most code points stays, then the one with the smallest id.
 
 Null text counts as empty; all empty texts are one group. A null id ranks after every other id. Rows that repeat
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
+from .common import SPACES, join_counted, materialize, table
 
 #: Ranks (code points, id) in one number that hash aggregation can keep in place: fewer is better.
 _LEN, _ID, _HALF = 2147483648, 36893488147419103232, 9223372036854775808
@@ -68,7 +69,8 @@ def winners(rows: DataFrame, salts: int = 16) -> DataFrame:
 def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = keyed(docs, ident, text)
-    out = rows.select("doc_id", "digest").join(winners(rows, salts), "digest")
+    best = materialize(winners(rows, salts).withColumn("n", F.col("group_size")), "winners")
+    out = join_counted(rows.select("doc_id", "digest"), best, ["digest"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

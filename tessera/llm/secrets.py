@@ -5,8 +5,8 @@ characters), access (AKIA and 16 or more of A-Z0-9) and hex (24 or more of 0-9a-
 tokens of 20 or more base64-like characters that mix upper case, lower case and digits and touch no base span.
 
 The SHA-256 of every candidate value is counted over the whole corpus by distinct repositories (documents) and
-owners (sources). A value that more than ``most_owners`` owners hold is a widely copied example; one that few hold
-and that has no placeholder word is live-looking. Bare tokens are added as spans of kind ``owned`` if they are
+owners (sources). A value that more than ``most_owners`` owners or ``most_repositories`` repositories hold is a widely
+copied example; one that few hold and that has no placeholder word is live-looking. Bare tokens are added as spans of kind ``owned`` if they are
 live-looking; base spans always stay, and are only counted as live or example.
 
 Null text counts as empty; a null source is an owner of its own. Repeated rows each get their result. Counting goes
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_counted, materialize, table
 
 KINDS = ("assign", "access", "hex", "owned")
 #: (?i:) folds ASCII letters only in Java.
@@ -79,13 +79,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_sha256").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
     """doc_id, the counts by kind, base_sha256, spans, n_live and n_example of every row."""
     found = materialize(candidates(docs, ident, text, owner), "secrets")
-    lists = found.where("size(base) + size(bare) > 0").select("sig", F.transform(F.concat("base", "bare"), lambda x: F.sha2(x["v"], 256)).alias("values"))
-    lists = lists.dropDuplicates(["sig"]).select("sig", F.explode(F.array_distinct("values")).alias("value_sha256"))
-    live = lists.join(ownership(found).where(F.col("owners") <= most_owners), "value_sha256").groupBy("sig").agg(F.collect_set("value_sha256").alias("live"))
-    rows = found.join(live, "sig", "left")
+    values = F.transform(F.concat("base", "bare"), lambda x: F.sha2(x["v"], 256))
+    lists = materialize(found.where("size(base) + size(bare) > 0").select("sig", values.alias("values")).groupBy("sig").agg(F.min("values").alias("values"), F.count(F.lit(1)).alias("n")), "secret-lists")
+    few = ownership(found).where((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+    live = lists.select("sig", F.explode(F.array_distinct("values")).alias("value_sha256")).join(few, "value_sha256").groupBy("sig").agg(F.collect_set("value_sha256").alias("live"))
+    # Only short lists are sent to every task; a long one comes with long rows, of which few are frequent.
+    live = lists.select("sig", F.when(F.size("values") <= 256, F.col("n")).otherwise(1).alias("n")).join(live, "sig", "left")
+    rows = join_counted(found, materialize(live, "live-secrets"), ["sig"])
     few = lambda x: F.coalesce(F.array_contains("live", F.sha2(x["v"], 256)), F.lit(False))
     looks_live = lambda x: few(x) & ~x["v"].rlike(PLACEHOLDER)
     count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
@@ -121,8 +124,8 @@ base AS ({_sql_kind(0, _A, "regexp_extract(m, '" + _A.replace("'", "''") + "', 2
 token AS ({_sql_kind(3, "[A-Za-z0-9+/_=-]{20,}")}),
 bare AS (SELECT * FROM token t WHERE regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '{PLACEHOLDER}')
          AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = t.rid AND b.s < t.e AND t.s < b.e)),
-freq AS (SELECT v, count(DISTINCT source) AS owners FROM (SELECT v, source FROM base UNION ALL SELECT v, source FROM bare) GROUP BY v),
-marked AS (SELECT x.*, owners <= 2 AND NOT regexp_matches(v, '{PLACEHOLDER}') AS live FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) x JOIN freq USING (v)),
+freq AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM (SELECT v, source, doc_id FROM base UNION ALL SELECT v, source, doc_id FROM bare) GROUP BY v),
+marked AS (SELECT x.*, owners <= 2 AND repositories <= 10 AND NOT regexp_matches(v, '{PLACEHOLDER}') AS live FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) x JOIN freq USING (v)),
 agg AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
   coalesce(string_agg(concat(['assign', 'access', 'hex'][k + 1], ':', s, ':', e), ',' ORDER BY s, k) FILTER (WHERE k < 3), '') AS bs,
   coalesce(string_agg(concat(['assign', 'access', 'hex', 'owned'][k + 1], ':', s, ':', e), ',' ORDER BY s, k) FILTER (WHERE k < 3 OR live), '') AS spans,

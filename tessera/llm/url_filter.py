@@ -16,14 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_counted, materialize, table
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    names = ("verdict", "host", "path")
+    if not rules:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(k) for k in names])
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, r)]) for r in rules])))
 
 
 def parsed(pages: DataFrame, ident: str = "page_id", url: str = "url") -> DataFrame:
@@ -39,12 +42,12 @@ def _digest(host, path):
 
 
 def judge(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path, rule, verdict) of each distinct (host, path) of ``pairs`` that some rule fits."""
+    """(host, path, rule, verdict) of each (host, path) of ``pairs``, which are distinct, that some rule fits."""
     rules = rules.where("host is not null and host <> '' and path is not null")
     # Bounded by the longest rule, whatever the number of rules or pages.
     shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.char_length("path")).alias("lengths")).first()
     lengths = F.array(*[F.lit(x) for x in sorted(shape["lengths"])]).cast("array<int>")
-    distinct = pairs.select("host", "path").where("host <> ''").distinct()
+    distinct = pairs.select("host", "path").where("host <> ''")
     suffixes = F.expr(f"array_distinct(transform(array({', '.join(map(str, sorted(shape['labels']))) or 'cast(null as int)'}), k -> substring_index(host, '.', -k)))")
     prefixes = F.array_distinct(F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
     exprs = distinct.withColumn("h", F.explode(suffixes)).withColumn("p", F.explode(prefixes)).withColumn("digest", _digest(F.col("h"), F.col("p")))
@@ -60,7 +63,10 @@ def judge(pairs: DataFrame, rules: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: DataFrame, ident: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``."""
     rows = parsed(pages, ident, url)
-    out = rows.join(judge(rows, rules), ["host", "path"], "left")
+    # Frequent urls, the empty one too, get their verdict where they are; only the others meet by (host, path).
+    pairs = materialize(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
+    judged = materialize(pairs.join(judge(pairs, rules), ["host", "path"], "left"), "judged-urls")
+    out = join_counted(rows, judged, ["host", "path"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
