@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +108,32 @@ def rescal(h, m, t, n: int) -> Column:
 def simple(h, r, inverse, t) -> Column:
     """The mean of the products with a relation and with its inverse."""
     return (distmult(h, r, t) + distmult(h, inverse, t)) / 2
+
+
+def trend(mean, slope: float, direction, amplitude, frequency, at: float) -> Column:
+    """The mean of an embedding that drifts and swings in time: mean + at * slope * direction + amplitude * sin(2 pi frequency at)."""
+    swing = F.zip_with(doubles(amplitude), doubles(frequency), lambda a, w: a * F.sin(w * (2 * math.pi * at)))
+    return F.zip_with(F.zip_with(doubles(mean), doubles(direction), lambda m, x: m + x * (at * slope)), swing, lambda a, b: a + b)
+
+
+def gaussian_divergence(h, r, t, h_var, r_var, t_var) -> Column:
+    """Both Kullback-Leibler divergences between the normal distributions of h - t and r, with diagonal variances, over 4."""
+    gap = F.zip_with(F.zip_with(doubles(h), doubles(t), lambda a, b: a - b), doubles(r), lambda a, b: (a - b) * (a - b))
+    both = F.zip_with(doubles(h_var), doubles(t_var), lambda a, b: a + b)
+    terms = F.zip_with(F.arrays_zip(gap.alias("g"), both.alias("e")), doubles(r_var), lambda x, v: x["e"] / v + x["g"] / v + v / x["e"] + x["g"] / x["e"] - 2)
+    return total(terms) / 4
+
+
+def tero(h, r, t, angle, dim: int) -> Column:
+    """Temporal rotation: entities (real half, imaginary half) are turned by the time's angles; |h + r - conj(t)| in L1."""
+    half = dim // 2
+    cols = {"h": doubles(h), "r": doubles(r), "t": doubles(t)}
+    parts = [p.alias(f"{k}{s}") for k, c in cols.items() for s, p in (("r", F.slice(c, 1, half)), ("i", F.slice(c, half + 1, half)))]
+
+    def term(x, a):
+        cos, sin = F.cos(a), F.sin(a)
+        real = (x["hr"] * cos - x["hi"] * sin) + x["rr"] - (x["tr"] * cos - x["ti"] * sin)
+        imaginary = (x["hr"] * sin + x["hi"] * cos) + x["ri"] + (x["tr"] * sin + x["ti"] * cos)
+        return F.abs(real) + F.abs(imaginary)
+
+    return total(F.zip_with(F.arrays_zip(*parts), F.slice(doubles(angle), 1, half), term))

@@ -218,9 +218,9 @@ def _(spark, d):
     return asked.join(p, "node", "left").select("pos", "node", "brand")
 
 
-@query("join_filtered_link", W + " SELECT t.policy, e.enterprise FROM targets t JOIN enterprises e USING (si) WHERE t.policy % 10 = 0 EXCEPT SELECT policy, enterprise FROM supports")
+@query("join_filtered_link", W + " SELECT t.policy, e.enterprise FROM targets t JOIN enterprises e USING (si) EXCEPT SELECT policy, enterprise FROM supports")
 def _(spark, d):
-    c = S.targets(spark, d).where("policy % 10 = 0").join(S.enterprises(spark, d), "si").select("policy", "enterprise").distinct()
+    c = S.targets(spark, d).join(S.enterprises(spark, d), "si").select("policy", "enterprise").distinct()
     return c.join(S.supports(spark, d), ["policy", "enterprise"], "left_anti")
 
 

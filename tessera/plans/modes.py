@@ -18,13 +18,13 @@ W = f"WITH {SQL}"
 
 # retrieval modes ------------------------------------------------------------------------------------------------
 
-#: Hits by vectors: those of 200 rows stand for policies, relations and chunks.
-HITS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 200), sim AS (SELECT a.vec_id AS qid, b.vec_id AS vec, round(list_dot_product(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id % 50 = 0),
-t AS (SELECT 'P' || policy AS src, 'S' || si AS dst, conf AS w, policy, si FROM targets WHERE policy < 200),
-hn AS (SELECT * FROM (SELECT qid, 'P' || policy AS item, row_number() OVER (PARTITION BY qid ORDER BY s DESC, policy) AS pos FROM sim JOIN (SELECT DISTINCT policy FROM t) ON vec = policy) WHERE pos <= 5),
-he AS (SELECT * FROM (SELECT qid, src, dst, row_number() OVER (PARTITION BY qid ORDER BY s DESC, src, dst) AS pos FROM sim JOIN t ON vec = (policy * 3 + si) % 200) WHERE pos <= 5),
-hc AS (SELECT qid, 'c' || vec AS item, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec) AS pos FROM sim WHERE vec < 23),
-held AS (SELECT DISTINCT src AS item, 'c' || policy % 23 AS chunk FROM t UNION SELECT src || '|' || dst, 'c' || (policy + si) % 23 FROM t),
+#: Hits by vectors: those of the table, dealt out in turn, stand for policies, relations and chunks.
+HITS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT count(*) AS z FROM e), sim AS (SELECT a.vec_id AS qid, b.vec_id AS vec, round(list_dot_product(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id % 20 = 0),
+t AS (SELECT 'P' || policy AS src, 'S' || si AS dst, conf AS w, policy, si FROM targets),
+hn AS (SELECT * FROM (SELECT qid, 'P' || policy AS item, row_number() OVER (PARTITION BY qid ORDER BY s DESC, policy) AS pos FROM sim JOIN (SELECT DISTINCT policy FROM t) ON vec = policy % (FROM z)) WHERE pos <= 5),
+he AS (SELECT * FROM (SELECT qid, src, dst, row_number() OVER (PARTITION BY qid ORDER BY s DESC, src, dst) AS pos FROM sim JOIN t ON vec = (policy * 3 + si) % (FROM z)) WHERE pos <= 5),
+hc AS (SELECT qid, 'c' || vec AS item, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec) AS pos FROM sim),
+held AS (SELECT DISTINCT src AS item, 'c' || policy % (FROM z) AS chunk FROM t UNION SELECT src || '|' || dst, 'c' || (policy + si) % (FROM z) FROM t),
 g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM t UNION ALL SELECT dst FROM t) GROUP BY 1),
 lr AS (SELECT qid, src || '|' || dst AS item, row_number() OVER (PARTITION BY qid ORDER BY a.n + b.n DESC, w DESC, src, dst) AS pos FROM t JOIN hn ON item = src JOIN g a ON a.node = src JOIN g b ON b.node = dst),
 ge AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY min(o)) AS pos FROM (SELECT qid, src AS item, pos * 2 AS o FROM he UNION ALL SELECT qid, dst, pos * 2 + 1 FROM he) GROUP BY 1, 2),
@@ -42,16 +42,17 @@ def _merged(kind, lists):
 
 
 def _search(spark, d, mode):
-    e = table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("vec"), "embedding")
-    asked = e.where("vec % 50 = 0").select(F.col("vec").alias("qid"), F.col("embedding").alias("q"))
-    sim = e.crossJoin(F.broadcast(asked)).select("qid", "vec", F.round(V.dot("q", "embedding"), 6).alias("s"))  # four stated queries
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), "embedding")
+    asked = e.where("vec % 20 = 0").select(F.col("vec").alias("qid"), F.col("embedding").alias("q"))
+    sim = e.crossJoin(F.broadcast(asked)).select("qid", "vec", F.round(V.dot("q", "embedding"), 6).alias("s"))  # the stated queries against all
+    z = e.count()
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    t = S.targets(spark, d).where("policy < 200").select(key("P", "policy").alias("src"), key("S", "si").alias("dst"), F.col("conf").alias("w"), "policy", "si")
+    t = S.targets(spark, d).select(key("P", "policy").alias("src"), key("S", "si").alias("dst"), F.col("conf").alias("w"), "policy", "si")
     pos = lambda *by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), *by))
-    nodes = sim.join(t.select("policy").distinct(), F.col("vec") == F.col("policy")).select("qid", key("P", "policy").alias("item"), pos("policy").alias("pos")).where("pos <= 5")
-    relations = sim.join(t, F.col("vec") == (F.col("policy") * 3 + F.col("si")) % 200).select("qid", "src", "dst", pos("src", "dst").alias("pos")).where("pos <= 5")
-    chunks = sim.where("vec < 23").select("qid", key("c", "vec").alias("item"), pos("vec").alias("pos"))
-    chunk = lambda c: F.concat(F.lit("c"), (c % 23).cast("string")).alias("chunk")
+    nodes = sim.join(t.select("policy").distinct(), F.col("vec") == F.col("policy") % z).select("qid", key("P", "policy").alias("item"), pos("policy").alias("pos")).where("pos <= 5")
+    relations = sim.join(t, F.col("vec") == (F.col("policy") * 3 + F.col("si")) % z).select("qid", "src", "dst", pos("src", "dst").alias("pos")).where("pos <= 5")
+    chunks = sim.select("qid", key("c", "vec").alias("item"), pos("vec").alias("pos")).where("pos <= 40")
+    chunk = lambda c: F.concat(F.lit("c"), (c % z).cast("string")).alias("chunk")
     held = t.select(F.col("src").alias("item"), chunk(F.col("policy"))).unionByName(t.select(T.edge_key().alias("item"), chunk(F.col("policy") + F.col("si")))).distinct()
     return T.search(mode, nodes, relations, chunks, t.select("src", "dst", "w"), held)
 

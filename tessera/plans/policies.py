@@ -127,11 +127,11 @@ def _(spark, d):
     return A.vocabulary(names, words)
 
 
-@query("join_hard_negative", W + """, p AS (SELECT DISTINCT policy, si FROM targets WHERE policy % 5 = 0), c AS (SELECT policy, enterprise, 0 AS tier FROM p JOIN enterprises USING (si) UNION ALL SELECT policy, enterprise, 1 FROM (SELECT DISTINCT policy FROM p) CROSS JOIN enterprises),
+@query("join_hard_negative", W + """, p AS (SELECT DISTINCT policy, si FROM targets), c AS (SELECT policy, enterprise, 0 AS tier FROM p JOIN enterprises USING (si) UNION ALL SELECT policy, enterprise, 1 FROM (SELECT DISTINCT policy FROM p) CROSS JOIN enterprises),
 b AS (SELECT policy, enterprise, min(tier) AS tier FROM c GROUP BY 1, 2), k AS (SELECT b.*, row_number() OVER (PARTITION BY b.policy ORDER BY tier, b.enterprise) AS k FROM b ANTI JOIN supports s ON b.policy = s.policy AND b.enterprise = s.enterprise) SELECT policy, enterprise, tier FROM k WHERE k <= 5""")
 def _(spark, d):
     most = 5
-    p, e, pos = S.targets(spark, d).where("policy % 5 = 0").select("policy", "si").distinct(), S.enterprises(spark, d), S.supports(spark, d).where("policy % 5 = 0")
+    p, e, pos = S.targets(spark, d).select("policy", "si").distinct(), S.enterprises(spark, d), S.supports(spark, d)
     held = pos.groupBy("policy").agg(count())
     # Of each sub-industry no more are needed than are wanted and may be positives.
     ranked = e.select("si", "enterprise", F.row_number().over(Window.partitionBy("si").orderBy("enterprise")).alias("r"))
@@ -224,9 +224,9 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.min_by("l_quantity", F.struct("l_orderkey", "l_linenumber", "l_quantity")).alias("w"))
 
 
-@query("set_cov_union", W + " SELECT policy, enterprise FROM supports UNION SELECT policy, enterprise FROM targets JOIN enterprises USING (si) WHERE policy % 5 = 0")
+@query("set_cov_union", W + " SELECT policy, enterprise FROM supports UNION SELECT policy, enterprise FROM targets JOIN enterprises USING (si)")
 def _(spark, d):
-    reach = S.targets(spark, d).where("policy % 5 = 0").join(S.enterprises(spark, d), "si").select("policy", "enterprise")
+    reach = S.targets(spark, d).join(S.enterprises(spark, d), "si").select("policy", "enterprise")
     return S.supports(spark, d).unionByName(reach).distinct()
 
 

@@ -95,8 +95,12 @@ def _(spark, d):
 
 @query("join_metapath", W + "SELECT policy, count(*) AS n FROM (SELECT DISTINCT policy, enterprise FROM targets JOIN enterprises USING (si) EXCEPT SELECT * FROM supports) GROUP BY policy")
 def _(spark, d):
-    pairs = S.targets(spark, d).join(S.enterprises(spark, d), "si").select("policy", "enterprise").distinct()
-    return pairs.join(S.supports(spark, d), ["policy", "enterprise"], "left_anti").groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
+    # An enterprise has one sub-industry: a policy reaches the sum of its targets' sizes, less the supported among them.
+    t, e = S.targets(spark, d).select("policy", "si").distinct(), S.enterprises(spark, d)
+    reach = t.join(e.groupBy("si").agg(F.count(F.lit(1)).alias("size")), "si").groupBy("policy").agg(F.sum("size").alias("size"))
+    held = S.supports(spark, d).join(e.select("enterprise", "si"), "enterprise").join(t, ["policy", "si"], "left_semi").groupBy("policy").agg(F.count(F.lit(1)).alias("held"))
+    left = F.col("size") - F.coalesce("held", F.lit(0))
+    return reach.join(held, "policy", "left").select("policy", left.alias("n")).where("n > 0")
 
 
 @query("join_unmapped_audit", W + "SELECT p.policy, t.policy IS NULL AS no_target, r.child IS NULL AS no_parent FROM policies p LEFT JOIN (SELECT DISTINCT policy FROM targets) t USING (policy) LEFT JOIN transmits r ON p.policy = r.child")
