@@ -60,9 +60,12 @@ def inherit(policies: DataFrame, parents: DataFrame, targets: DataFrame, decay:
     found = None
     for hop in range(1, depth + 1):
         step = frontier.join(parents.select(F.col("child").alias("at"), "parent"), "at").join(targeted, "parent", "left").where("parent <> policy").select("policy", F.col("parent").alias("at"), "hit").distinct()
+        step = cut(step)  # else each hop would run all hops before it again
         hits = step.where("hit").select("policy", F.col("at").alias("ancestor"), F.lit(hop).alias("hops"))
         found = hits if found is None else found.unionByName(hits)
         frontier = step.where("hit is null").select("policy", "at")
+        if frontier.isEmpty():
+            break
     near = found.groupBy("policy", "ancestor").agg(F.min("hops").alias("hops"))
     given = near.join(targets.withColumnRenamed("policy", "ancestor"), "ancestor").withColumn("c", F.col("conf") * F.pow(F.lit(decay), F.col("hops")))
     best = Window.partitionBy("policy", "si").orderBy(F.desc("c"), "hops", "ancestor")
@@ -96,6 +99,8 @@ def largest_component(edges: DataFrame, most: int = 200) -> DataFrame:
         label = new.select("node", "label")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most} steps")
     best = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(1)
     return label.join(F.broadcast(best.select("label")), "label", "left_semi").select("node")
 
