@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.llm import near_copies, simhash
 
 
@@ -66,3 +68,41 @@ def test_chains_that_no_star_joins(spark):
             words[rnd.randrange(150)] = f"x{i}{rnd.random()}"
     assert set(slow_roots(rows).values()) == {0}
     assert [r.doc_id for r in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_forest_is_all_links():
+    rnd = random.Random(2)
+    for most in (3, 9):
+        sets = [np.unique(np.array(rnd.choices(range(12), k=rnd.randint(0, most)), np.uint64)) for _ in range(60)]
+        comp = np.array([rnd.randrange(50) for _ in sets])
+        near = {(i, j) for i in range(60) for j in range(i) if comp[i] != comp[j] and near_copies.alike(sets[i], sets[j], 0.8)}
+
+        def roots(links):
+            root = list(range(60))
+            for _ in range(60):
+                for i, j in links:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        found = list(zip(*near_copies.forest(sets, comp, 0.8)))
+        assert near and {(max(p), min(p)) for p in found} <= near and roots(found) == roots(near)
+    assert near_copies.forest([np.empty(0, np.uint64)] * 2, np.array([1, 2]), 0.8) == ([0], [1])
+
+
+def test_a_family_about_the_threshold(spark, monkeypatch):
+    """Large bands go by blocks; the classes are those of all pairs, however small the blocks are."""
+    rnd, base = random.Random(4), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rnd.choice((1, 2, 2, 3, 3, 3))):
+            words[rnd.randrange(120)] = f"x{i}{rnd.random()}"
+        rows.append((i, " ".join(words)))
+    roots = slow_roots(rows)
+    expected = {i for i, r in roots.items() if i == r}
+    assert 5 < len(expected) < 155
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few, block, total in ((32, 512, 1 << 18), (4, 16, 1 << 18), (4, 512, 1000), (1 << 30, 512, 1 << 18)):
+        for name, value in (("_FEW", few), ("_BLOCK", block), ("_SHINGLES", total)):
+            monkeypatch.setattr(near_copies, name, value)
+        assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == expected
