@@ -106,3 +106,12 @@ def test_a_family_about_the_threshold(spark, monkeypatch):
         for name, value in (("_FEW", few), ("_BLOCK", block), ("_SHINGLES", total)):
             monkeypatch.setattr(near_copies, name, value)
         assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == expected
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    rows = [(3, None, 1, 1, "x"), (4, "", 2, 2, None), (5, " \n", 3, 3, "z"), (6, "a b c d e f", 0, 0, ""), (6, "a b c d e f", 0, 0, ""), (7, "A b c d e f", 1, 1, "k"), (None, None, 9, 9, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, key long, __a string")
+    kept = near_copies.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(repr(r) for r in (rows[0], rows[3], rows[4], rows[6]))
+    assert near_copies.keep_first(docs.limit(0)).count() == 0
