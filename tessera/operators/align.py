@@ -103,6 +103,14 @@ def cascade(notes: DataFrame, originals: DataFrame, least: int = 10) -> DataFram
     return t1.unionByName(t2).unionByName(t3)
 
 
+def bounded(df: DataFrame, name: str, most: int = 10_000) -> list[str]:
+    """The sorted values of a vocabulary, which each task of ``vocabulary`` holds; more than ``most`` are refused, not cut."""
+    words = sorted(r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().limit(most + 1).collect())
+    if len(words) > most:
+        raise ValueError(f"the vocabulary has over {most} values")
+    return words
+
+
 def vocabulary(names: DataFrame, words: list[str], least: float = 0.85) -> DataFrame:
     """name, match, how: exact, trimmed, the most alike at ``least`` or more, or the first that holds or is held. The
     vocabulary is a list given as a parameter; each distinct name is compared once."""

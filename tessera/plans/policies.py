@@ -122,7 +122,7 @@ def _(spark, d):
 
 @query("join_fuzzy_vocab")
 def _(spark, d):
-    words = [r["r_name"] for r in table(spark, d, "region").orderBy("r_name").limit(100).collect()]  # the vocabulary
+    words = A.bounded(table(spark, d, "region"), "r_name")
     names = table(spark, d, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, d, "region").select(F.concat(F.lit(" "), F.translate("r_name", "I", "L")).alias("name")))
     return A.vocabulary(names, words)
 

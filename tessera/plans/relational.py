@@ -40,9 +40,13 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.text_processing(F.col("text")).alias("t"))
 
 
-@query("normalize_answer", r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,./:;<=>?@\[\\\]^_`{|}~-]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
+BARE = r"""regexp_replace(lower(text), '[!"#$%&''()*+,./:;<=>?@\[\\\]^_`{|}~-]', '', 'g')"""
+ARTICLE = r"'(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'"
+
+
+@query("normalize_answer", rf"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace({BARE}, {ARTICLE}), {ARTICLE}), '\s+', ' ', 'g')) AS t FROM benchmark")
 def _(spark, d):
-    return table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", X.normalize_answer(F.col("text")).alias("t"))
+    return table(spark, d, "benchmark").select("item_id", X.normalize_answer(F.col("text")).alias("t"))
 
 
 @query("doc_summary", "SELECT doc_id, CASE WHEN length(trim(text)) > 250 THEN substr(trim(text), 1, 250) || '...' ELSE trim(text) END AS summary FROM documents")

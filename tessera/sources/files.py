@@ -90,3 +90,23 @@ def export_markdown(df: DataFrame) -> DataFrame:
     """value: one row of a bar-separated table for each row."""
     cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[|\n\r]", " "), F.lit("")) for c in df.columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def read_extractions(spark: SparkSession, path: str) -> DataFrame:
+    """idx, passage, entities, triples: cached extraction results, a row for each chunk, of a file ``{"docs": [...]}``."""
+    doc = "struct<idx:string,passage:string,extracted_entities:array<string>,extracted_triples:array<array<string>>>"
+    docs = spark.read.schema(f"docs array<{doc}>").option("multiLine", True).json(path).select(F.inline("docs"))
+    return docs.withColumnsRenamed({"extracted_entities": "entities", "extracted_triples": "triples"})
+
+
+def pending(chunks: DataFrame, done: DataFrame, text: str = "content", prefix: str = "chunk-") -> DataFrame:
+    """idx and all columns of the chunks whose digest isn't among ``done``."""
+    return chunks.withColumn("idx", F.concat(F.lit(prefix), F.md5(text))).join(done.select("idx"), "idx", "left_anti")
+
+
+def new_embeddings(store: DataFrame | None, rows: DataFrame, prefix: str) -> DataFrame:
+    """hash_id, content, embedding of the rows (content, embedding) that the store doesn't have, one row a content (the
+    least embedding of several). Append them to the store's folder."""
+    once = rows.where("content is not null").groupBy("content").agg(F.min("embedding").alias("embedding"))
+    once = once.select(F.concat(F.lit(prefix), F.md5("content")).alias("hash_id"), "content", "embedding")
+    return once if store is None else once.join(store.select("hash_id"), "hash_id", "left_anti")

@@ -45,3 +45,11 @@ def test_merging_empty_tables(spark):
     assert [tuple(r) for r in M.merge_edges(edges).select("src", "dst", "weight", "keywords").collect()] == [("a", "b", 3.0, "k,z")]
     quota = spark.createDataFrame([(1, 0, 1), (1, 1, 9), (1, 2, 9)], "qid int, pos int, has int")
     assert [r.took for r in M.linear_quota(quota, 4, 2).orderBy("pos").collect()] == [1, 6, 2]
+
+
+def test_cached_extractions(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"docs": [{"idx": "chunk-900150983cd24fb0d6963f7d28e17f72", "passage": "abc", "extracted_entities": ["a"], "extracted_triples": [["a", "b", "c"]]}]}')
+    done = files.read_extractions(spark, str(tmp_path / "e.json"))
+    assert [(r.passage, r.entities, r.triples) for r in done.collect()] == [("abc", ["a"], [["a", "b", "c"]])]
+    chunks = spark.createDataFrame([("abc",), ("abd",)], "content string")
+    assert [r.content for r in files.pending(chunks, done).collect()] == ["abd"]
