@@ -45,7 +45,7 @@ def _(spark, d):
     return rows.select("p_partkey", "r.name", "r.kind", "r.description")
 
 
-@query("openie_pending", "SELECT DISTINCT 'chunk-' || md5(text) AS idx FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+@query("openie_pending", "SELECT DISTINCT 'chunk-' || md5(text) AS idx FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
 def _(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     done = files.pending(docs.where("doc_id % 2 = 0"), docs.select(F.lit("").alias("idx")).limit(0), "text")

@@ -110,3 +110,42 @@ def new_embeddings(store: DataFrame | None, rows: DataFrame, prefix: str) -> Dat
     once = rows.where("content is not null").groupBy("content").agg(F.min("embedding").alias("embedding"))
     once = once.select(F.concat(F.lit(prefix), F.md5("content")).alias("hash_id"), "content", "embedding")
     return once if store is None else once.join(store.select("hash_id"), "hash_id", "left_anti")
+
+
+def _write_plain(df: DataFrame, path: str, *columns: str) -> None:
+    df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value")).write.mode("overwrite").text(path)
+
+
+def ascii_text(c, otherwise):
+    """Words of ASCII characters with single spaces between, any other character counts as a space; ``otherwise`` if empty."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", " "), r"\s+", " "))
+    return F.when(bare == "", otherwise).otherwise(bare)
+
+
+def write_type_constraints(triples: DataFrame, path: str) -> None:
+    """A line of ``r, n, ids`` for the heads of a relation and one for its tails, ids in their order. The format has all
+    ids of a relation in a line, so a line must fit into memory; ``type_constraints`` has them as rows."""
+    sides = type_constraints(triples).groupBy("r", "side").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    line = F.concat_ws("\t", F.col("r").cast("string"), F.size("ids").cast("string"), F.array_join(F.col("ids").cast("array<string>"), "\t"))
+    sides.orderBy("r", "side").select(line.alias("value")).write.mode("overwrite").text(f"{path}/lines")
+    sides.agg(F.count_distinct("r").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/count")
+
+
+def write_text_triples(splits: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """For models that read texts: ``h<TAB>r<TAB>t`` of the names for each split, the names, and ``name<TAB>text`` of
+    entities and relations (name, text), in ASCII; an empty text becomes the word for its kind and the name."""
+    for split, triples in splits.items():
+        _write_plain(triples, f"{path}/{split}", "h", "r", "t")
+    for kind, one, named in (("entities", "entity", entities), ("relations", "relation", relations)):
+        _write_plain(named, f"{path}/{kind}", "name")
+        texts = named.select("name", ascii_text(F.col("text"), F.concat(F.lit(f"{one} "), "name")).alias("text"))
+        _write_plain(texts, f"{path}/{one}2text", "name", "text")
+
+
+def write_quads(splits: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """For temporal models: ``h<TAB>r<TAB>t<TAB>d`` of the names and the date for each split, and the id maps (name, id)
+    without a count line."""
+    for split, quads in splits.items():
+        _write_plain(quads, f"{path}/{split}", "h", "r", "t", "d")
+    for one, ids in (("entity", entities), ("relation", relations)):
+        _write_plain(ids, f"{path}/{one}2id", "name", "id")

@@ -53,3 +53,20 @@ def test_cached_extractions(spark, tmp_path):
     assert [(r.passage, r.entities, r.triples) for r in done.collect()] == [("abc", ["a"], [["a", "b", "c"]])]
     chunks = spark.createDataFrame([("abc",), ("abd",)], "content string")
     assert [r.content for r in files.pending(chunks, done).collect()] == ["abd"]
+
+
+def test_text_triples_and_quads(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    lines = lambda path: sorted(r.value for r in spark.read.text(path).collect())
+    triples = spark.createDataFrame([("e0", "r0", "e1", "2014-01-04"), ("e1", "r0", "e1", None)], "h string, r string, t string, d string")
+    named = spark.createDataFrame([("e0", "a  政 b"), ("e1", "策"), ("e2", None)], "name string, text string")
+    files.write_text_triples({"train": triples, "dev": triples.limit(0)}, named, named.limit(0), at("x"))
+    assert lines(at("x/train")) == ["e0\tr0\te1", "e1\tr0\te1"] and lines(at("x/dev")) == []
+    assert lines(at("x/entities")) == ["e0", "e1", "e2"] and lines(at("x/relation2text")) == []
+    assert lines(at("x/entity2text")) == ["e0\ta b", "e1\tentity e1", "e2\tentity e2"]
+    ids = spark.createDataFrame([("e0", 0), ("e1", 1)], "name string, id long")
+    files.write_quads({"train": triples.where("d is not null")}, ids, ids, at("q"))
+    assert [tuple(r) for r in files.read_tsv_quads(spark, at("q/train"), "2014-01-01").collect()] == [("e0", "r0", "e1", 3)]
+    assert sorted(map(tuple, files.read_id_map(spark, at("q/entity2id")).collect())) == [("e0", 0), ("e1", 1)]
+    files.write_type_constraints(spark.createDataFrame([(5, 1, 0), (2, 1, 0), (2, 3, 1)], "h long, t long, r long"), at("c"))
+    assert lines(at("c/lines")) == ["0\t1\t1", "0\t2\t2\t5", "1\t1\t2", "1\t1\t3"] and lines(at("c/count")) == ["2"]
