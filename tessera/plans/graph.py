@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import graph as G
+from tessera.operators import nearest as N
 from tessera.operators import rank as R
 from tessera.plans.registry import registry
 from tessera.sources import surrogate as S
@@ -113,10 +114,21 @@ def _(spark, d):
 @query("vec_topk", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS item, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
 SELECT qid, item, round(s, 4) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, item) AS k FROM s WHERE s > 0.2) WHERE k <= 10""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    s = N.top_k(asked, e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 10, 0.2)
+    return R.rank(s).select("qid", "item", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("score_struct_context", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS item, e.v, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, item) AS k FROM s) WHERE k <= 10), o AS (SELECT a.qid, a.item, a.v, b.v AS u, row_number() OVER (PARTITION BY a.qid, a.item ORDER BY b.k) AS m FROM h a JOIN h b ON a.qid = b.qid AND a.item <> b.item),
+x AS (SELECT qid, item, any_value(v) AS v, list(u) AS us FROM o WHERE m <= 5 GROUP BY 1, 2), y AS (SELECT qid, item, v, list_transform(range(1, len(v) + 1), lambda i: list_avg(list_transform(us, lambda u: u[i]))) AS c FROM x)
+SELECT qid, item, round((list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c)) + 1) / 2, 5) AS context FROM y""")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    s = e.join(asked, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("item"), F.round(V.cosine("q", "embedding"), 9).alias("score")).where("score > 0.2")
-    return R.rank(s).where("rank <= 10").select("qid", "item", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    v = e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    return N.struct_context(R.rank(N.top_k(asked, v, 10)), v).select("qid", "item", F.round("context", 5).alias("context"))
 
 
 _E3 = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT a.vec_id, a.v AS h, b.v AS r, c.v AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2) "
