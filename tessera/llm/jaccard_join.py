@@ -346,8 +346,8 @@ WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(strin
 s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM t),
 e AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
-both AS (SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM both WHERE 100 * c >= 85 * (na + nb - c)),
+pairs AS (SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (na + nb - c)),
 u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(a, b) AS (SELECT r, r FROM s UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a)
 SELECT s.doc_id, len(s.s) AS n_shingles, min(o.doc_id) AS component_id
