@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import nearest as N
+
+#: Rows of a product at a time.
+_ROWS = 256
+
 
 def link_ranks(scored: DataFrame, known: DataFrame, allowed: DataFrame | None = None, by: str = "r", item: str = "t", score: str = "s") -> DataFrame:
     """by, item, raw and filtered rank of each scored candidate: 1 + the number of candidates with a strictly better
@@ -17,3 +26,84 @@ def link_ranks(scored: DataFrame, known: DataFrame, allowed: DataFrame | None =
     better = upto - F.sum("__known").over(Window.partitionBy(by, score))
     raw = F.rank().over(order).cast("long")
     return rows.select(by, item, raw.alias("raw"), (raw - better).alias("filtered"))
+
+
+def _blocks(rows: DataFrame, block: int) -> int:
+    return max(1, math.ceil(rows.count() / block))
+
+
+def vector_ranks(
+    triples: DataFrame, entities: DataFrame, known: DataFrame | None = None, allowed: DataFrame | None = None, measure: str = "l1", block: int = 2048
+) -> DataFrame:
+    """id, raw, filtered: the rank of each triple's own tail among all entities, straight from the vectors.
+
+    triples: id, q (a key: the same head and relation have the same one), t (the tail), x (the vector that a tail is
+    compared with: h + r for a translation, h * r for a product); entities: t, v, each t once. ``measure`` is one of nearest.MEASURES; ranks are 1 + the number of entities with a strictly better similarity at
+    nine digits. The filtered rank doesn't count known tails (q, t) other than the triple's own; ``allowed`` (q, t)
+    limits the candidates to a relation's range, the own tail always counts. Heads are ranked by the same function with
+    heads and tails in each other's place.
+
+    Triples and entities meet in blocks as products of matrices, in which better ones are counted; counts are added up
+    by triple. Candidates are never rows. Lists of known or allowed tails go to the blocks of their key only, and a key
+    with very many triples is dealt over several blocks. Triples without a vector or whose tail has none have null ranks.
+    """
+    triples, entities = triples.select("id", "q", "t", "x"), entities.where("t is not null and v is not null").select("t", "v")
+    own = triples.where("x is not null").join(entities.withColumnRenamed("v", "own"), "t")
+    nth, mth = _blocks(triples, block), _blocks(entities, block)
+    deal = lambda *c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("a", deal("id", n=nth))
+    kinds = {"id": triples, "q": triples, "t": entities}
+    id_, q_, t_ = (kinds[c].schema[c].dataType.simpleString() for c in ("id", "q", "t"))
+    none = F.lit(None)
+    right = entities.select(every(nth).alias("a"), deal("t", n=mth).alias("b"), F.lit(0).alias("kind"), none.cast(q_).alias("q"), "t", "v")
+    where = left.select("q", "a").distinct()
+    for kind, lists in ((1, known), (2, allowed)):
+        if lists is not None:  # of a key, only to the blocks that have triples of it
+            sent = lists.select("q", "t").distinct().join(where, "q")
+            right = right.unionByName(sent.select("a", deal("t", n=mth).alias("b"), F.lit(kind).alias("kind"), "q", "t", none.cast(entities.schema["v"].dataType).alias("v")))
+    limited = allowed is not None
+
+    def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        items = y[y["kind"] == 0]
+        if x.empty or items.empty:
+            return pd.DataFrame({"id": [], "better": [], "known": []})
+        at = {t: i for i, t in enumerate(items["t"])}
+        m = N.matrix(items["v"])
+        lists = {}
+        for kind in (1, 2):
+            part = y[y["kind"] == kind]
+            part = part[part["t"].isin(at)]
+            lists[kind] = {q: g["t"].map(at).to_numpy() for q, g in part.groupby("q")}
+        better, seen = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        q, tails = N.matrix(x["x"]), N.matrix(x["own"])
+        keys = x["q"].to_numpy()
+        for i in range(0, len(x), _ROWS):
+            s = N.similarities(q[i : i + _ROWS], m, measure)
+            for row in range(len(s)):
+                k = i + row
+                mine = N.similarities(q[k : k + 1], tails[k : k + 1], measure)[0, 0]
+                over = s[row] > mine
+                if limited:
+                    fit = np.zeros(len(m), bool)
+                    fit[lists[2].get(keys[k], [])] = True
+                    over &= fit
+                own_at = at.get(x["t"].iloc[k])
+                if own_at is not None:
+                    over[own_at] = False
+                better[k] = over.sum()
+                seen[k] = over[lists[1].get(keys[k], np.empty(0, np.int64))].sum()
+        return pd.DataFrame({"id": x["id"].to_numpy(), "better": better, "known": seen})
+
+    left = left.withColumn("b", every(mth))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(count, f"id {id_}, better long, known long")
+    sums = found.groupBy("id").agg(F.sum("better").alias("better"), F.sum("known").alias("known"))
+    ranks = triples.select("id").join(sums, "id", "left")
+    return ranks.select("id", (1 + F.col("better")).alias("raw"), (1 + F.col("better") - F.col("known")).alias("filtered"))
+
+
+def rank_metrics(ranks: DataFrame, column: str = "filtered", hits: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+    """One row: n, mr, mrr and hits@k of the ranks that aren't null."""
+    r = F.col(column)
+    at = [F.avg((r <= k).cast("double")).alias(f"hits{k}") for k in hits]
+    return ranks.where(r.isNotNull()).agg(F.count(r).alias("n"), F.avg(r.cast("double")).alias("mr"), F.avg(1 / r).alias("mrr"), *at)

@@ -16,43 +16,81 @@ from tessera.operators import rank as R
 _ROWS = 256
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, block: int = 4096) -> DataFrame:
-    """qid, item, score: for each query (qid, q) the ``k`` rows (item, v) of greatest cosine over ``least``, itself left out.
+MEASURES = ("cosine", "dot", "l1")
+
+
+def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(size > 0, size, 1)[:, None], size > 0
+
+
+def matrix(vectors) -> np.ndarray:
+    return np.stack(list(vectors)).astype(np.float64)
+
+
+def similarities(q: np.ndarray, m: np.ndarray, measure: str) -> np.ndarray:
+    """Of each row of q to each of m, rounded to nine digits; a distance is negative, so that more is always nearer.
+    The cosine with a vector of length 0 is -inf."""
+    if measure == "l1":
+        out = np.empty((len(q), len(m)))
+        for i in range(len(q)):  # one row at a time: |m| x dim numbers, not |q| as many
+            out[i] = -np.abs(m - q[i]).sum(axis=1)
+        return np.round(out, 9)
+    if measure == "dot":
+        return np.round(q @ m.T, 9)
+    (q, asks), (m, some) = _unit(q), _unit(m)
+    out = np.round(q @ m.T, 9)
+    out[~asks] = -np.inf
+    out[:, ~some] = -np.inf
+    return out
 
-    Both sides are dealt into blocks of some ``block`` vectors, and a task has the products of two blocks, of which it
-    gives k rows a query at most: pairs of vectors are never rows. The best of all blocks are then ranked by query. Exact:
-    equal scores go by the item. Cosines are rounded to nine digits; null vectors and those of length 0 are left out.
-    """
-    queries, rows = queries.where("q is not null and qid is not null"), rows.where("v is not null and item is not null")
-    asked, held = (max(1, math.ceil(x.count() / block)) for x in (queries, rows))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(deal("qid", asked).alias("a"), every(held).alias("b"), "qid", "q")
-    right = rows.select(every(asked).alias("a"), deal("item", held).alias("b"), "item", "v")
 
-    def unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
-        size = np.sqrt((m * m).sum(axis=1))
-        return m / np.where(size > 0, size, 1)[:, None], size > 0
+def best_of(k: int, least: float, measure: str, own: bool = False):
+    """For applyInPandas on cogroups: the k best rows (item, v) over ``least`` of each query (qid, q), itself left out."""
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        found: tuple[list, list, list] = [], [], []
         if len(x) and len(y):
             y = y.sort_values("item", kind="stable")
             item, qid = y["item"].to_numpy(), x["qid"].to_numpy()
-            (m, some), (q, asks) = unit(y["v"]), unit(x["q"])
+            m, q = matrix(y["v"]), matrix(x["q"])
             for i in range(0, len(q), _ROWS):
-                s = np.round(q[i : i + _ROWS] @ m.T, 9)
-                s[(qid[i : i + _ROWS, None] == item[None, :]) | ~some[None, :] | ~asks[i : i + _ROWS, None] | (s <= least)] = -np.inf
+                s = similarities(q[i : i + _ROWS], m, measure)
+                s[s <= least] = -np.inf
+                if not own:
+                    s[qid[i : i + _ROWS, None] == item[None, :]] = -np.inf
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, order, axis=1)
                 row, col = np.nonzero(score > -np.inf)
                 for to, part in zip(found, (qid[i + row], item[order[row, col]], score[row, col])):
                     to.append(part)
-        return pd.DataFrame(dict(zip(("qid", "item", "score"), map(np.concatenate, found))))
+        return pd.DataFrame({c: np.concatenate(part) if part else [] for c, part in zip(("qid", "item", "score"), found)})
 
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "qid long, item long, score double")
-    return R.rank(near).where(F.col("rank") <= k).drop("rank")  # cut before the shuffle too, by the limit of the rank
+    return best
+
+
+def scores_schema(queries: DataFrame, rows: DataFrame) -> str:
+    return f"qid {queries.schema['qid'].dataType.simpleString()}, item {rows.schema['item'].dataType.simpleString()}, score double"
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float = -math.inf, block: int = 4096, measure: str = "cosine", own: bool = False) -> DataFrame:
+    """qid, item, score: for each query (qid, q) the ``k`` nearest rows (item, v) over ``least``, itself left out unless ``own``.
+
+    ``measure`` is the cosine, the dot product or the negative L1 distance. Both sides are dealt into blocks of some
+    ``block`` vectors, and a task has two blocks, of which it gives k rows a query at most: pairs of vectors are never
+    rows. The best of all blocks are then ranked by query. Exact: equal scores go by the item. Scores are rounded to
+    nine digits; null vectors are left out, and for the cosine those of length 0.
+    """
+    if measure not in MEASURES:
+        raise ValueError(f"measure must be one of {MEASURES}")
+    queries, rows = queries.where("q is not null and qid is not null"), rows.where("v is not null and item is not null")
+    asked, held = (max(1, math.ceil(x.count() / block)) for x in (queries, rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(deal("qid", asked).alias("a"), every(held).alias("b"), "qid", "q")
+    right = rows.select(every(asked).alias("a"), deal("item", held).alias("b"), "item", "v")
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best_of(k, least, measure, own), scores_schema(queries, rows))
+    return R.rank(found).where(F.col("rank") <= k).drop("rank")  # cut before the shuffle too, by the limit of the rank
 
 
 def struct_context(hits: DataFrame, vectors: DataFrame, most: int = 5) -> DataFrame:

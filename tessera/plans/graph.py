@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators import ann as A
 from tessera.operators import graph as G
 from tessera.operators import nearest as N
 from tessera.operators import rank as R
@@ -120,6 +124,30 @@ def _(spark, d):
     return R.rank(s).select("qid", "item", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _index(spark, d):
+    """The index of all vectors, the queries (the ids divisible by 20), and how many lists there are: about sqrt(n)."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    lists = min(4096, max(1, math.isqrt(e.count())))
+    index = A.build(e, f"{G.shared_folder(spark)}/vec-ann-{uuid.uuid4().hex}", lists)
+    return index, e.where("item % 20 = 0").select(F.col("item").alias("qid"), F.col("v").alias("q")), lists
+
+
+@query("vec_ann")
+def _(spark, d):
+    """The ten nearest of the lists that a query probes, half of all: these vectors have no clusters to speak of."""
+    index, asked, lists = _index(spark, d)
+    return R.rank(A.search(index, asked, 10, -(-lists // 2))).select("qid", "item", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("vec_ann_all_lists", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS item,
+list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT qid, item, round(s, 4) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, item) AS k FROM s) WHERE k <= 10""")
+def _(spark, d):
+    """With all lists probed nothing is missed: every row is in the index once."""
+    index, asked, lists = _index(spark, d)
+    return R.rank(A.search(index, asked, 10, lists)).select("qid", "item", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("score_struct_context", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS item, e.v, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, item) AS k FROM s) WHERE k <= 10), o AS (SELECT a.qid, a.item, a.v, b.v AS u, row_number() OVER (PARTITION BY a.qid, a.item ORDER BY b.k) AS m FROM h a JOIN h b ON a.qid = b.qid AND a.item <> b.item),
 x AS (SELECT qid, item, any_value(v) AS v, list(u) AS us FROM o WHERE m <= 5 GROUP BY 1, 2), y AS (SELECT qid, item, v, list_transform(range(1, len(v) + 1), lambda i: list_avg(list_transform(us, lambda u: u[i]))) AS c FROM x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import graph as G
+from tessera.operators import nearest as N
 from tessera.operators import rank as R
 from tessera.operators import retrieve as T
 from tessera.plans.registry import registry
@@ -42,16 +43,23 @@ def _merged(kind, lists):
 
 
 def _search(spark, d, mode):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), "embedding")
-    asked = e.where("vec % 20 = 0").select(F.col("vec").alias("qid"), F.col("embedding").alias("q"))
-    sim = e.crossJoin(F.broadcast(asked)).select("qid", "vec", F.round(V.dot("q", "embedding"), 6).alias("s"))  # the stated queries against all
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("v"))
+    asked = e.where("vec % 20 = 0").select(F.col("vec").alias("qid"), F.col("v").alias("q"))  # the stated queries
     z = e.count()
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     t = S.targets(spark, d).select(key("P", "policy").alias("src"), key("S", "si").alias("dst"), F.col("conf").alias("w"), "policy", "si")
-    pos = lambda *by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), *by))
-    nodes = sim.join(t.select("policy").distinct(), F.col("vec") == F.col("policy") % z).select("qid", key("P", "policy").alias("item"), pos("policy").alias("pos")).where("pos <= 5")
-    relations = sim.join(t, F.col("vec") == (F.col("policy") * 3 + F.col("si")) % z).select("qid", "src", "dst", pos("src", "dst").alias("pos")).where("pos <= 5")
-    chunks = sim.select("qid", key("c", "vec").alias("item"), pos("vec").alias("pos")).where("pos <= 40")
+
+    def hits(rows, k):
+        """qid, item, pos of the k nearest of the rows (item, vec)."""
+        near = N.top_k(asked, rows.join(e, "vec").select("item", "v"), k, measure="dot", own=True)
+        return R.rank(near).select("qid", "item", F.col("rank").alias("pos"))
+
+    nodes = hits(t.select(F.col("policy").alias("item"), (F.col("policy") % z).alias("vec")).distinct(), 5)
+    nodes = nodes.select("qid", key("P", "item").alias("item"), "pos")
+    pairs = t.select(F.concat_ws("\x01", "src", "dst").alias("item"), ((F.col("policy") * 3 + F.col("si")) % z).alias("vec"))
+    ends = F.split("item", "\x01")
+    relations = hits(pairs, 5).select("qid", ends[0].alias("src"), ends[1].alias("dst"), "pos")
+    chunks = hits(e.select(F.col("vec").alias("item"), "vec"), 40).select("qid", key("c", "item").alias("item"), "pos")
     chunk = lambda c: F.concat(F.lit("c"), (c % z).cast("string")).alias("chunk")
     held = t.select(F.col("src").alias("item"), chunk(F.col("policy"))).unionByName(t.select(T.edge_key().alias("item"), chunk(F.col("policy") + F.col("si")))).distinct()
     return T.search(mode, nodes, relations, chunks, t.select("src", "dst", "w"), held)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators import community as C
 from tessera.operators import explore as E
 from tessera.operators import graph as G
 from tessera.operators import nearest as N
@@ -108,11 +109,17 @@ def _(spark, d):
     return E.label_propagation(S.message_edges(spark, d), 3)
 
 
+@query("graph_modularity")
+def _(spark, d):
+    """Communities by modularity; parallel edges add up."""
+    return C.communities(S.message_edges(spark, d), "w")
+
+
 @query("graph_centrality")
 def _(spark, d):
     e = S.message_edges(spark, d)
     g = G.degrees(e)
-    b = E.betweenness(G.cut(e.select("src", "dst").distinct()), 1 << 20)  # of the whole graph; more edges are refused
+    b = E.betweenness(e)  # exact up to 4,096 nodes, of as many pivots beyond
     rows = g.join(E.eigenvector(e, 20), "node").join(b, "node", "left").fillna(0.0, ["b"])
     size = 0.5 * F.col("degree") + 0.3 * F.col("b") + 0.2 * F.col("x")
     scaled = R.minmax(rows.withColumn("size", size), "size", "unit")
@@ -178,20 +185,24 @@ def _(spark, d):
 
 @query("retrieve_dpr", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS item, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON true WHERE a.vec_id % 20 = 0), m AS (SELECT qid, item, round((s - min(s) OVER q) / (max(s) OVER q - min(s) OVER q), 6) AS score FROM s WINDOW q AS (PARTITION BY qid)) SELECT qid, item, score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS k FROM m) WHERE k <= 20")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
-    asked = e.where("item % 20 = 0").select(F.col("item").alias("qid"), F.col("embedding").alias("q"))
-    s = R.minmax(e.crossJoin(asked).select("qid", "item", V.dot("q", "embedding").alias("s")), "s", "score", ("qid",))  # a stated query set
-    return R.rank(s.select("qid", "item", F.round("score", 6).alias("score"))).where("rank <= 20").select("qid", "item", "score", F.col("rank").cast("long").alias("rank"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), V.doubles("embedding").alias("v"))
+    asked = e.where("item % 20 = 0").select(F.col("item").alias("qid"), F.col("v").alias("q"))  # a stated query set
+    # the least product is the greatest one with the opposite vector; more than 20, as rounding to six digits makes ties
+    near = N.top_k(asked, e, 100, measure="dot", own=True)
+    far = N.top_k(asked.select("qid", F.transform("q", lambda x: -x).alias("q")), e, 1, measure="dot", own=True).select("qid", (-F.col("score")).alias("lo"))
+    high = near.groupBy("qid").agg(F.max("score").alias("hi"))
+    s = near.join(high, "qid").join(far, "qid").withColumn("score", F.round((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6))
+    return R.rank(s).where("rank <= 20").select("qid", "item", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("retrieve_transe", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE vec_id = 1), s AS (SELECT h.vec_id AS qid, t.vec_id AS item, round(1 / (1 + list_sum(list_transform(list_zip(h.v, rv, t.v), lambda x: abs(x[1] + x[2] - x[3])))), 9) AS s FROM e h JOIN e t ON h.vec_id <> t.vec_id CROSS JOIN r WHERE h.vec_id % 20 = 0) SELECT qid, item, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, item) AS k FROM s) WHERE k <= 10")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    relation = e.where("vec_id = 1").select(F.col("embedding").alias("r"))
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("h")).crossJoin(F.broadcast(relation))  # one row
-    near = F.aggregate(F.zip_with(F.zip_with(V.doubles("h"), V.doubles("r"), lambda a, b: a + b), V.doubles("embedding"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
-    s = e.join(asked, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("item"), F.round(1 / (1 + near), 9).alias("score"))
-    return R.rank(s).where("rank <= 10").select("qid", "item", F.round("score", 6).alias("score"))
+    e = table(spark, d, "embeddings").select("vec_id", V.doubles("embedding").alias("v"))
+    relation = e.where("vec_id = 1").select(F.col("v").alias("r"))
+    # h + r is made once for each query; then only a distance is left
+    asked = e.where("vec_id % 20 = 0").crossJoin(F.broadcast(relation)).select(F.col("vec_id").alias("qid"), F.zip_with("v", "r", lambda a, b: a + b).alias("q"))  # one row
+    near = N.top_k(asked, e.select(F.col("vec_id").alias("item"), "v"), 10, measure="l1")
+    return near.select("qid", "item", F.round(1 / (1 - F.col("score")), 6).alias("score"))
 
 
 @query("resolve_industries", "WITH q AS (SELECT DISTINCT p_type AS ask FROM part), m AS (SELECT n_name AS word, n_regionkey AS mi FROM nation UNION ALL SELECT r_name, r_regionkey FROM region UNION ALL SELECT DISTINCT split_part(p_type, ' ', 1), length(p_type) % 5 FROM part), e AS (SELECT DISTINCT ask, mi FROM q JOIN m ON ask = word) SELECT * FROM e UNION SELECT ask, mi FROM q JOIN m ON contains(ask, word) OR contains(word, ask) WHERE ask NOT IN (SELECT ask FROM e)")

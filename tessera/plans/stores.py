@@ -9,6 +9,7 @@ from tessera.functions import vectors as V
 from tessera.operators import graph as G
 from tessera.operators import link_rank as L
 from tessera.operators import lookup as K
+from tessera.operators import nearest as N
 from tessera.operators import rank as R
 from tessera.plans.registry import registry
 from tessera.sources import surrogate as S
@@ -115,6 +116,45 @@ def _(spark, d):
     return L.link_ranks(scored, known, part.join(types, "p_brand").select("r", "t"))
 
 
+#: Triples on the vectors: heads are the ids divisible by 20, three relations, and five known tails of each head.
+TRIPLES = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT count(*) AS z FROM e),
+x AS (SELECT h.vec_id AS id, (h.vec_id * 7 + 3) % z AS t, list_transform(list_zip(h.v, r.v), lambda p: p[1] {op} p[2]) AS x
+      FROM e h JOIN e r ON r.vec_id = 1 + h.vec_id % 3, z WHERE h.vec_id % 20 = 0),
+known AS (SELECT DISTINCT id, (id * 7 + 3 + k * 11) % z AS t FROM x, range(5) r(k), z),
+s AS (SELECT id, x.t AS own, e.vec_id AS t, label, round({score}, 9) AS s FROM x JOIN e ON true),
+o AS (SELECT s.id, s.s FROM s WHERE t = own)
+SELECT s.id, 1 + count(*) FILTER (WHERE s.s > o.s {only}) AS raw, 1 + count(*) FILTER (WHERE s.s > o.s AND k.t IS NULL {only}) AS filtered
+FROM s JOIN o USING (id) LEFT JOIN known k ON k.id = s.id AND k.t = s.t GROUP BY 1"""
+L1 = "-list_sum(list_transform(list_zip(x.x, e.v), lambda p: abs(p[1] - p[2])))"
+
+
+def _vector_triples(spark, d, combine):
+    e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("v"))
+    z = e.count()
+    heads = e.where("vec_id % 20 = 0").withColumn("rel", 1 + F.col("vec_id") % 3)
+    relations = e.where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("rel"), F.col("v").alias("r"))
+    tail = lambda k: (F.col("id") * 7 + 3 + k * 11) % z
+    x = heads.join(F.broadcast(relations), "rel").select(F.col("vec_id").alias("id"), F.zip_with("v", "r", combine).alias("x"))  # three rows
+    triples = x.select("id", F.col("id").alias("q"), tail(F.lit(0)).alias("t"), "x")
+    known = triples.select("q", F.explode(F.array(*[tail(F.lit(k)) for k in range(5)])).alias("t"))
+    return triples, e.select(F.col("vec_id").alias("t"), "v", "label"), known
+
+
+@query("lp_rank_vectors", TRIPLES.format(op="+", score=L1, only=""))
+def _(spark, d):
+    """Raw and filtered ranks of tails by a translation."""
+    triples, e, known = _vector_triples(spark, d, lambda a, b: a + b)
+    return L.vector_ranks(triples, e, known)
+
+
+@query("lp_rank_vectors_typed", TRIPLES.format(op="*", score="list_dot_product(x.x, e.v)", only="AND s.label % 3 = s.id % 3"))
+def _(spark, d):
+    """Ranks by a product of three, among the entities in a relation's range."""
+    triples, e, known = _vector_triples(spark, d, lambda a, b: a * b)
+    fits = e.select("t", (F.col("label") % 3).alias("k")).join(triples.select("q", (F.col("id") % 3).alias("k")), "k").select("q", "t")
+    return L.vector_ranks(triples, e, known, fits, "dot")
+
+
 @query("lp_hits_bert", "WITH s AS (SELECT lang AS qid, doc_id, n_chars % 97 AS logit, doc_id % 5 = 0 AS truth FROM documents), k AS (SELECT qid, truth, row_number() OVER (PARTITION BY qid ORDER BY logit DESC, doc_id) AS rank FROM s), m AS (SELECT qid, min(rank) AS rank FROM k WHERE truth GROUP BY 1) SELECT qid, rank, rank <= 1 AS hit1, rank <= 3 AS hit3, rank <= 10 AS hit10 FROM m")
 def _(spark, d):
     s = table(spark, d, "documents").select(F.col("lang").alias("qid"), F.col("doc_id").alias("item"), (F.col("n_chars") % 97).alias("score"), (F.col("doc_id") % 5 == 0).alias("truth"))
@@ -146,9 +186,8 @@ def _(spark, d):
     relation = e.where("vec_id = 1").select(F.col("v").alias("r"))
     # t - r is made once for each query; then only a distance is left for each pair.
     asked = e.where("vec_id % 20 = 0").crossJoin(F.broadcast(relation)).select(F.col("vec_id").alias("qid"), F.zip_with("v", "r", lambda a, b: a - b).alias("q"))
-    near = V.total(F.zip_with("v", "q", lambda a, b: F.abs(a - b)))
-    s = e.join(asked, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("item"), F.round(1 / (1 + near), 9).alias("score"))
-    return R.rank(s).where("rank <= 10").select("qid", "item", F.round("score", 6).alias("score"))
+    near = N.top_k(asked, e.select(F.col("vec_id").alias("item"), "v"), 10, measure="l1")
+    return near.select("qid", "item", F.round(1 / (1 - F.col("score")), 6).alias("score"))
 
 
 # texts and queries ----------------------------------------------------------------------------------------------

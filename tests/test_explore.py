@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import community as C
 from tessera.operators import explore as E
 from tessera.operators import graph as G
 
@@ -79,8 +80,94 @@ def test_betweenness(spark, edges):
     got = {r.node: r.b for r in E.betweenness(edges).collect()}
     assert got.keys() == NEAR.keys() and all(got[v] == pytest.approx(want[v] / ((n - 1) * (n - 2))) for v in NEAR)
     assert E.betweenness(edges.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        E.betweenness(edges, most=3)
+
+
+def brandes(near):
+    """node: the sum over all sources of what depends on it, in plain Python."""
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, count, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], count[w], before[w] = dist[v] + 1, 0.0, []
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+                    before[w].append(v)
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for v in before[w]:
+                share[v] += count[v] / count[w] * (1 + share[w])
+            total[w] += share[w]
+    return total
+
+
+def neighbours(pairs):
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return near
+
+
+def test_betweenness_of_pivots_is_near(spark):
+    import random
+
+    rnd = random.Random(4)
+    pairs = [(i, rnd.randrange(i)) for i in range(1, 150)] + [(rnd.randrange(150), rnd.randrange(150)) for _ in range(80)]
+    near = neighbours(pairs)
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    want, scale = brandes(near), 1 / ((len(near) - 1) * (len(near) - 2))
+    exact = {r.node: r.b for r in E.betweenness(df).collect()}
+    assert all(exact[v] == pytest.approx(want[v] * scale, abs=1e-12) for v in near)
+    some = {r.node: r.b for r in E.betweenness(df, most=100).collect()}
+    assert max(abs(some[v] - exact[v]) for v in near) < 0.1 and some != exact
+    assert E.pivots(df.select(df.src.alias("node")).distinct(), 7).count() == 7
+
+
+def slow_modularity(pairs, label):
+    m = sum(w for _, _, w in pairs)
+    k, inner = Counter(), 0.0
+    for a, b, w in pairs:
+        k[label[a]] += w
+        k[label[b]] += w
+        inner += w * (label[a] == label[b])
+    return inner / m - sum(v * v for v in k.values()) / (4 * m * m)
+
+
+def partitions(nodes):
+    if not nodes:
+        yield []
+        return
+    for rest in partitions(nodes[1:]):
+        yield [[nodes[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [nodes[0], *rest[i]], *rest[i + 1 :]]
+
+
+def test_communities_reach_the_best_of_all_partitions(spark):
+    ring = [(a + x, a + y, 1.0) for a in (0, 3, 6) for x, y in ((0, 1), (1, 2), (0, 2))] + [(2, 3, 1.0), (5, 6, 1.0), (8, 0, 0.5), (9, 8, 2.0), (9, 9, 1.0)]
+    want = max(slow_modularity(ring, {v: i for i, p in enumerate(parts) for v in p}) for parts in partitions(list(range(10))))
+    df = spark.createDataFrame(ring, "src long, dst long, w double")
+    label = {r.node: r.community for r in C.communities(df, "w").collect()}
+    assert set(label) == set(range(10)) and all(label[c] == c for c in set(label.values()))
+    found = slow_modularity(ring, label)
+    assert found == pytest.approx(want)
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    assert C.modularity(C.weighted(df, "w"), labels) == pytest.approx(found)
+    assert C.communities(df.limit(0)).count() == 0
+
+
+def test_communities_are_no_worse_than_label_propagation(spark):
+    from tessera.sources import surrogate as S
+
+    e = G.cut(S.message_edges(spark, "/root/testdata/sf0.001").select("src", "dst"))
+    graph = C.weighted(e)
+    ours = C.modularity(graph, C.communities(e).withColumnRenamed("community", "label"))
+    assert ours >= C.modularity(graph, E.label_propagation(e, 5))
+    assert ours > 0.3
 
 
 def test_label_propagation_keeps_to_components(edges):
@@ -102,14 +189,13 @@ def test_energy(spark, edges):
 
 
 def test_centrality_takes_every_edge(spark):
-    """Over 1,000 edges: the betweenness of the query is that of the whole graph."""
+    """The betweenness of the query is that of the whole graph."""
     from tessera.plans.retrieval import QUERIES
     from tessera.sources import surrogate as S
 
-    sf = "/root/testdata/sf0.01"
-    e = S.message_edges(spark, sf).select("src", "dst").localCheckpoint()
-    assert e.count() > 1000
-    want = {r.node: r.b for r in E.betweenness(e).collect()}
+    sf = "/root/testdata/sf0.001"
+    near = neighbours((r.src, r.dst) for r in S.message_edges(spark, sf).select("src", "dst").collect())
+    want, scale = brandes(near), 1 / ((len(near) - 1) * (len(near) - 2))
     got = {r.node: r.betweenness for r in QUERIES["graph_centrality"](spark, sf).collect()}
-    assert set(want) <= set(got)
-    assert all(abs(b - want.get(node, 0.0)) < 2e-6 for node, b in got.items())
+    assert set(want) == set(got)
+    assert all(abs(b - want[node] * scale) < 2e-6 for node, b in got.items())
