@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,17 +44,20 @@ def pagerank(nodes: DataFrame, matrix: DataFrame, damping: float = 0.85, steps:
         base = base.join(teleport.select("node", (F.col("v") / whole).alias("v")), "node", "left").fillna(0.0, ["v"])
     else:
         base = base.withColumn("v", F.lit(1.0 / max(n, 1)))
-    base = cut(base)
-    state, leak = cut(base.select("node", F.col("v").alias("p"), "v", "out")), None
+    state = cut(base.select("node", F.col("v").alias("p"), "v", "out"))
+    loose = lambda c: F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col(c))), F.lit(0.0))
+    leak = state.agg(loose("p")).first()[0]
     for _ in range(steps):
-        leak = state.where("out is null").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         flow = matrix.join(state.select(F.col("node").alias("src"), "p"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("p")).alias("f"))
-        new = state.join(flow, "node", "left").select("node", (damping * (F.coalesce("f", F.lit(0.0)) + F.lit(leak) * F.col("v")) + (1 - damping) * F.col("v")).alias("q"), "p", "v", "out")
-        new = cut(new)
-        moved = new.agg(F.max(F.abs(F.col("q") - F.col("p")))).first()[0]
+        q = damping * (F.coalesce("f", F.lit(0.0)) + F.lit(leak) * F.col("v")) + (1 - damping) * F.col("v")
+        new = cut(state.join(flow, "node", "left").select("node", q.alias("q"), "p", "v", "out"))
+        moved, leak = new.agg(F.max(F.abs(F.col("q") - F.col("p"))), loose("q")).first()  # of what is written, in one pass
         state = new.select("node", F.col("q").alias("p"), "v", "out")
         if not moved or moved < tol:
             break
+    else:
+        if tol:
+            warnings.warn(f"pagerank: not settled after {steps} steps, last change {moved}", RuntimeWarning, stacklevel=2)
     return state.select("node", "p")
 
 
@@ -126,8 +130,12 @@ def seeded_pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, s
         before = state.select("seed", "node", F.col("p").alias("q"))
         both = cut(new.join(before, ["seed", "node"], "full").fillna(0.0, ["p", "q"]))
         state = both.select("seed", "node", "p")
-        if tol and (both.groupBy("seed").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).agg(F.max("d")).first()[0] or 0.0) < tol:
+        change = both.groupBy("seed").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).agg(F.max("d")).first()[0] or 0.0 if tol else 0.0
+        if tol and change < tol:
             break
+    else:
+        if tol:
+            warnings.warn(f"seeded_pagerank: not settled after {steps} steps, last change {change}", RuntimeWarning, stacklevel=2)
     return state
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+from .select import beside, exact_quantile
+
 
 def minmax(df: DataFrame, col: str, out: str, by: tuple[str, ...] = (), constant: float = 0.0) -> DataFrame:
     """(x - min) / (max - min); one combined aggregate is joined back, so no group is gathered in one task."""
@@ -41,21 +44,29 @@ def rank(df: DataFrame, by: str = "qid", item: str = "item", score: str = "score
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), item)))
 
 
-def rank_cut(df: DataFrame, quantile: float | None = 0.75, drop: float | None = 0.15, top_k: int | None = None, cap: int | None = 100, by: str = "qid", item: str = "item", score: str = "score") -> DataFrame:
-    """Keeps scores at or over the quantile, up to the first relative drop over ``drop``, then the first top_k and cap."""
+def rank_cut(
+    df: DataFrame, quantile: float | None = 0.75, drop: float | None = 0.15, top_k: int | None = None, cap: int | None = 100,
+    by: str = "qid", item: str = "item", score: str = "score",
+) -> DataFrame:
+    """Keeps scores at or over the quantile, up to the first relative drop over ``drop``, then the first top_k and cap.
+
+    The quantile is found by exact_quantile, without gathering a query's list. A drop after the last rank that is kept
+    changes nothing, so each task keeps that many rows of a query at most before they meet.
+    """
     out = df
     if quantile is not None:
-        at = df.groupBy(by).agg(F.percentile(score, F.lit(quantile)).alias("__q"))
-        out = df.join(at, by).where(F.col(score) >= F.col("__q")).drop("__q")
+        out = cut(df)  # read once for the quantile and once for the cut
+        at = exact_quantile(out, [by], score, quantile, out="__q")
+        out = beside(out, at, [by]).where(F.col(score) >= F.col("__q")).drop("__q")
     out = rank(out, by, item, score)
+    most = [k for k in (top_k, cap) if k and k > 0]
+    if most:
+        out = out.where(F.col("rank") <= min(most))
     if drop is not None:
         order = Window.partitionBy(by).orderBy("rank")
         before = F.lag(score).over(order)
         out = out.withColumn("__b", F.when((before > 0) & ((before - F.col(score)) / before > drop), 1).otherwise(0))
         out = out.withColumn("__s", F.sum("__b").over(order)).where("__s = 0").drop("__b", "__s")
-    for most in (top_k, cap):
-        if most and most > 0:
-            out = out.where(F.col("rank") <= most)
     return out
 
 
