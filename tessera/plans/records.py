@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import agency as A
+from tessera.functions import chunking as C
 from tessera.functions import text as X
 from tessera.plans.registry import registry
 from tessera.sources import files
@@ -57,3 +58,23 @@ def _(spark, d):
     rows = table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("content"), F.array(F.col("n_nationkey").cast("double")).alias("embedding"))
     store = files.new_embeddings(None, rows.where("n_regionkey = 0"), "nation-")
     return files.new_embeddings(store, rows.unionByName(rows), "nation-").select("hash_id", "content", F.col("embedding")[0].alias("first"))
+
+
+_WINDOWS = """SELECT doc_id, ({first} + i)::INT AS chunk_order_index, least({size}, length(part) - i * {step})::INT AS tokens,
+regexp_replace(regexp_replace(substr(part, i * {step} + 1, {size}), '^[\x09-\x0D\x20]+', ''), '[\x09-\x0D\x20]+$', '') AS content"""
+
+
+@query("chunk_text", _WINDOWS.format(first=0, size=1200, step=1100) + """
+FROM (SELECT doc_id, text AS part, unnest(range((length(text) + 1099) // 1100)) AS i FROM documents)""")
+def _(spark, d):
+    """Windows of 1,200 tokens that overlap by 100; a character is a token here."""
+    return C.chunk(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("chunk_text_parts", """WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS part, generate_subscripts(string_split(text, '. '), 1) AS k FROM documents WHERE text <> ''),
+n AS (SELECT *, CASE WHEN length(part) <= 300 THEN 1 ELSE (length(part) + 249) // 250 END AS n FROM p),
+w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM n) """
++ _WINDOWS.format(first="first", size=300, step=250) + " FROM (SELECT *, unnest(range(n)) AS i FROM w)")
+def _(spark, d):
+    """Sentences; those of over 300 tokens in windows that overlap by 50."""
+    return C.chunk(table(spark, d, "documents"), "text", "doc_id", size=300, overlap=50, separator=". ")

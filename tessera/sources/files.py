@@ -27,6 +27,23 @@ def read_triple2id(spark: SparkSession, path: str) -> DataFrame:
     return p.select(*[F.col("p")[i].try_cast("long").alias(c) for i, c in enumerate(("h", "t", "r"))]).dropna()
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value and a number that rises along the lines of each file, though tasks read parts of a file."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return lines.withColumn("at", F.struct("file_path", "file_block_start", F.monotonically_increasing_id())).select("value", "at")
+
+
+def read_type_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """r, side, id: of each relation the first line has the heads, the second one the tails. A line is ``r, n, ids``; the
+    count line and lines with less than two fields are left out, as are ids over n and what isn't a number."""
+    p = _numbered(spark, path).select(F.split(F.trim("value"), r"\s+").alias("p"), "at").where(F.size("p") > 1)
+    lines = p.select(F.col("p")[0].try_cast("long").alias("r"), F.slice("p", F.lit(3), F.greatest(F.lit(0), F.coalesce(F.col("p")[1].try_cast("int"), F.lit(0)))).alias("ids"), "at")
+    order = F.row_number().over(Window.partitionBy("r").orderBy("at"))  # two lines a relation
+    sides = lines.where("r is not null").withColumn("k", order).where("k <= 2")
+    ids = sides.select("r", F.when(F.col("k") == 1, "head").otherwise("tail").alias("side"), F.explode("ids").alias("id"))
+    return ids.select("r", "side", F.col("id").try_cast("long").alias("id")).where("id is not null")
+
+
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -80,10 +97,14 @@ def type_constraints(triples: DataFrame) -> DataFrame:
     return heads.unionByName(triples.select("r", F.lit("tail").alias("side"), F.col("t").alias("id"))).distinct()
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """json, csv (with a header) or parquet."""
+def write_table(df: DataFrame, path: str, kind: str = "parquet", marked: bool = False) -> None:
+    """json, csv (with a header) or parquet. ``marked`` begins each file of a csv with the byte order mark, by which
+    spreadsheets know UTF-8: it stands before the first name of the header."""
     w = df.write.mode("overwrite")
-    (w.option("header", True) if kind == "csv" else w).format(kind).save(path)
+    if kind == "csv":
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if marked else df
+        w = df.write.mode("overwrite").option("header", True)
+    w.format(kind).save(path)
 
 
 def export_markdown(df: DataFrame) -> DataFrame:

@@ -70,3 +70,27 @@ def test_text_triples_and_quads(spark, tmp_path):
     assert sorted(map(tuple, files.read_id_map(spark, at("q/entity2id")).collect())) == [("e0", 0), ("e1", 1)]
     files.write_type_constraints(spark.createDataFrame([(5, 1, 0), (2, 1, 0), (2, 3, 1)], "h long, t long, r long"), at("c"))
     assert lines(at("c/lines")) == ["0\t1\t1", "0\t2\t2\t5", "1\t1\t2", "1\t1\t3"] and lines(at("c/count")) == ["2"]
+
+
+def test_type_constraints_come_back_from_parts_of_a_file(spark, tmp_path):
+    triples = spark.createDataFrame([(h, (h * 7 + r) % 50, r) for r in range(40) for h in range(r % 9 + 1)], "h long, t long, r long")
+    files.write_type_constraints(triples, str(tmp_path / "types"))
+    want = sorted(map(tuple, files.type_constraints(triples).select("r", "side", "id").collect()))
+    assert sorted(map(tuple, files.read_type_constraints(spark, str(tmp_path / "types/lines")).collect())) == want
+    lines = [r.value for r in spark.read.text(str(tmp_path / "types/lines")).collect()]
+    ordered = sorted(lines, key=lambda x: int(x.split("\t")[0]))  # stable: heads stay before tails
+    (tmp_path / "one.txt").write_text("40\n" + "\n".join(ordered) + "\n41\t0\n41\t1\tx\nbad line\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = files.read_type_constraints(spark, str(tmp_path / "one.txt"))
+        assert spark.read.text(str(tmp_path / "one.txt")).rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    files.write_table(spark.createDataFrame([(1, "ü")], "k long, v string"), str(tmp_path / "csv"), "csv", marked=True)
+    part = next((tmp_path / "csv").glob("part-*.csv")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfk,v") and part.decode("utf-8-sig").splitlines()[1] == "1,ü"
