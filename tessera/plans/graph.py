@@ -13,6 +13,7 @@ from tessera.operators import ann as A
 from tessera.operators import graph as G
 from tessera.operators import nearest as N
 from tessera.operators import rank as R
+from tessera.operators import tfidf as I
 from tessera.plans.registry import registry
 from tessera.sources import surrogate as S
 from tessera.sources.surrogate import SQL, table
@@ -184,6 +185,25 @@ def _(spark, d):
     return a.join(u, "t").where("qid <> item_id").groupBy("qid", F.col("item_id").alias("item")).agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("score"))
 
 
+@query("vec_tfidf_topk", r"""WITH d AS (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS t FROM benchmark), tf AS (SELECT item_id, t, count(*) AS tf FROM d WHERE t <> '' GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT item_id) AS n FROM tf), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT item_id, t, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (t), n), u AS (SELECT item_id, t, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w),
+s AS (SELECT a.item_id AS qid, b.item_id AS item, round(sum(a.w * b.w), 9) AS score FROM u a JOIN u b ON a.t = b.t AND a.item_id <> b.item_id WHERE a.item_id % 20 = 0 GROUP BY 1, 2)
+SELECT qid, item, round(score, 5) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS k FROM s WHERE score > 0) WHERE k <= 10""")
+def _(spark, d):
+    w = G.cut(I.weights(table(spark, d, "benchmark"), "item_id"))
+    found = I.search(w.where("item % 20 = 0").select(F.col("item").alias("qid"), "term", F.col("w").alias("v")), w, 10)
+    return R.rank(found).select("qid", "item", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("ppr_push")
+def _(spark, d):
+    """The PageRank of the policies whose number 20 divides by forward push: rows grow with 1 / least, not with the nodes."""
+    seeds = S.targets(spark, d).select("policy").distinct().where("policy % 20 = 0").select(F.concat(F.lit("P"), "policy").alias("node"))
+    p, _left = G.push_pagerank(S.message_edges(spark, d), seeds, least=1e-3)
+    return p.select("seed", "node", F.round("p", 6).alias("p"))
+
+
 @query("lp_rank", "WITH s AS (SELECT l_returnflag AS r, l_partkey AS t, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY 1, 2) SELECT r, t, rank() OVER (PARTITION BY r ORDER BY s DESC) AS rank FROM s")
 def _(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("r"), F.col("l_partkey").alias("t")).agg(F.round(F.sum("l_quantity"), 2).alias("s"))
