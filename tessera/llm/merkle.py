@@ -122,7 +122,8 @@ class Tree:
 
 def manifest(docs: DataFrame, fanout: int = FANOUT, every: int = 5, **names) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row."""
-    rows = indexed(leaves(docs, every=every, **names), "tree", ["doc_id", "leaf"], "leaves")
+    found = materialize(leaves(docs, every=every, **names), "leaves")  # texts are read once; ranges are drawn from their leaves
+    rows = indexed(found, "tree", ["doc_id", "leaf"], "ranges")
     nodes = materialize(rows.select("tree", "at", "n", F.col("leaf").alias("hash"), "doc_id", "changed"), "numbered")
     trees = Tree(nodes, fanout, ("doc_id", "changed"), "runs")
     tops = materialize(trees.roots(), "subroots")
