@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -15,19 +17,49 @@ from tessera.functions.text import normalize_text
 LEAST_LENGTH, SOFT, CONSTRAINED, DAYS = 10, 0.55, 0.4, 180
 
 
+_BARE = re.compile("[《》]")
+
+
 def bare(title: Column) -> Column:
     return F.regexp_replace(title, "[《》]", "")
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """2 * M / (length of both), M the characters in matching blocks."""
+def common(p: str, q: str) -> int:
+    """How many characters both hold, with repeats: no blocks of one can match more in the other."""
+    return (Counter(p) & Counter(q)).total()
+
+
+def ratio_of(p: str, q: str, least: float = 0.0) -> float | None:
+    """2 * M / (length of both), M the characters in matching blocks; None if lengths or characters keep it under ``least``."""
+    n = len(p) + len(q)
+    if n and least and (2 * min(len(p), len(q)) < least * n or 2 * common(p, q) < least * n):
+        return None
+    return SequenceMatcher(None, p, q).ratio()
+
 
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def soft_of(x: str, y: str, least: float) -> float | None:
+    """0.7 * (share of the shorter title, without its quotes, that matches) + 0.3 * ratio; None if that can't reach ``least``."""
+    p, q = (_BARE.sub("", t) for t in (x, y))
+    short, both = min(len(p), len(q)), len(x) + len(y)
+    if not short or 0.7 * common(p, q) / short + 0.6 * common(x, y) / both < least - 1e-9:
+        return None
+    bare_ratio = SequenceMatcher(None, p, q).ratio()
+    full_ratio = bare_ratio if (p, q) == (x, y) else SequenceMatcher(None, x, y).ratio()
+    return 0.7 * bare_ratio * (len(p) + len(q)) / 2 / short + 0.3 * full_ratio
+
+
+def _by_pair(of, least: float, a: Column, b: Column) -> Column:
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
+            yield pd.Series([of(p or "", q or "", least) for p, q in zip(x, y)], dtype="float64")
+
+    each.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}  # as types
+    return F.pandas_udf(each, "double")(a, b)
+
 
-    of.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}  # as types
-    return F.pandas_udf(of, "double")(a, b)
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """ratio_of; pairs whose lengths or characters keep them under ``least`` are null and cost no comparison."""
+    return _by_pair(ratio_of, least, a, b)
 
 
 def quoted(notes: DataFrame, originals: DataFrame) -> DataFrame:
@@ -75,9 +107,7 @@ def soft(notes: DataFrame, originals: DataFrame) -> DataFrame:
     """id, original, score: the best of 0.7 * coverage of the shorter + 0.3 * ratio, at least ``SOFT``; of equal scores
     the first original by ``pos``."""
     pairs = candidates(notes, originals).select("id", "original", "pos", normalize_text(F.col("a")).alias("x"), normalize_text(F.col("b")).alias("y"))
-    p, q = F.char_length(bare(F.col("x"))), F.char_length(bare(F.col("y")))
-    cover = ratio(bare(F.col("x")), bare(F.col("y"))) * (p + q) / 2 / F.least(p, q)
-    scored = pairs.where(F.least(p, q) > 0).withColumn("score", 0.7 * cover + 0.3 * ratio(F.col("x"), F.col("y"))).where(F.col("score") >= SOFT)
+    scored = pairs.withColumn("score", _by_pair(soft_of, SOFT, F.col("x"), F.col("y"))).where(F.col("score") >= SOFT)
     return scored.groupBy("id").agg(F.min_by(F.struct("original", "score"), F.struct(-F.col("score"), "pos")).alias("m")).select("id", "m.original", "m.score")
 
 
@@ -90,7 +120,7 @@ def constrained(notes: DataFrame, originals: DataFrame) -> DataFrame:
     right = originals.select("original", "pos", "agency", F.col("title").alias("b"), day.alias("e"), span.alias("span"))
     near = left.join(right, ["agency", "span"]).where(F.abs(F.col("d") - F.col("e")) <= DAYS)
     clean = lambda c: bare(normalize_text(F.col(c)))
-    scored = near.withColumn("score", ratio(clean("a"), clean("b"))).where(F.col("score") >= CONSTRAINED)
+    scored = near.withColumn("score", ratio(clean("a"), clean("b"), CONSTRAINED)).where(F.col("score") >= CONSTRAINED)
     return scored.groupBy("id").agg(F.min_by(F.struct("original", "score"), F.struct(-F.col("score"), "pos")).alias("m")).select("id", "m.original", "m.score")
 
 
@@ -122,9 +152,10 @@ def vocabulary(names: DataFrame, words: list[str], least: float = 0.85) -> DataF
         for w in words:
             if w.strip() == trimmed:
                 return w, "trimmed"
-        best = max(words, key=lambda w: SequenceMatcher(None, trimmed, w).ratio(), default=None)
-        if best is not None and SequenceMatcher(None, trimmed, best).ratio() >= least:
-            return best, "alike"
+        near = ((ratio_of(trimmed, w, least) or 0.0, w) for w in words)
+        best = max(near, key=lambda x: x[0], default=(0.0, None))
+        if best[1] is not None and best[0] >= least:
+            return best[1], "alike"
         return next(((w, "contained") for w in words if trimmed in w or w in trimmed), (None, "none"))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
