@@ -63,12 +63,11 @@ def candidates(docs: DataFrame, ident: str = "doc_id", text: str = "text", owner
         _spans(t, HEX, 2, whole),
     )
     mixed = lambda x: x["v"].rlike("[A-Z]") & x["v"].rlike("[a-z]") & x["v"].rlike("[0-9]") & ~x["v"].rlike(PLACEHOLDER)
-    rows = rows.select("doc_id", "owner", base.alias("base"), _spans(t, BARE, 3, whole, mixed).alias("bare"), F.xxhash64("text").alias("h"))
+    rows = rows.select("doc_id", "owner", base.alias("base"), _spans(t, BARE, 3, whole, mixed).alias("bare"))
     apart = lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
     rows = rows.withColumn("bare", F.filter("bare", apart))
     values = F.array_join(F.transform(F.concat("base", "bare"), lambda x: x["v"]), " ")
-    # Rows without candidates get keys of their own, or all would meet in one task of the join.
-    sig = F.when(values == "", F.concat(F.lit("none "), F.col("h").cast("string"))).otherwise(F.sha2(values, 256))
+    sig = F.sha2(values, 256)
     return rows.select("doc_id", "owner", "base", "bare", sig.alias("sig"))
 
 
@@ -88,7 +87,9 @@ def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text", owner: str
     live = lists.select("sig", F.explode(F.array_distinct("values")).alias("value_sha256")).join(few, "value_sha256").groupBy("sig").agg(F.collect_set("value_sha256").alias("live"))
     # Only short lists are sent to every task; a long one comes with long rows, of which few are frequent.
     live = lists.select("sig", F.when(F.size("values") <= 256, F.col("n")).otherwise(1).alias("n")).join(live, "sig", "left")
-    rows = join_counted(found, materialize(live, "live-secrets"), ["sig"])
+    some = F.size("base") + F.size("bare") > 0
+    rows = join_counted(found.where(some), materialize(live, "live-secrets"), ["sig"])
+    rows = rows.unionByName(found.where(~some), allowMissingColumns=True)  # without candidates there is nothing to look up
     few = lambda x: F.coalesce(F.array_contains("live", F.sha2(x["v"], 256)), F.lit(False))
     looks_live = lambda x: few(x) & ~x["v"].rlike(PLACEHOLDER)
     count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")

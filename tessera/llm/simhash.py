@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, join_counted, materialize, table
 from .near_copies import keep_first as keep_first  # the rule of the pipeline; fingerprints alone are op1's
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -175,10 +175,12 @@ def find_links(fps: DataFrame, bits: int = 4) -> DataFrame:
 def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id that links reach."""
     marked = materialize(with_fingerprints(docs, ident, text, words, seed), "fingerprints")
-    fps = materialize(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
+    fps = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    fps = materialize(fps, "distinct-fingerprints")
     roots = components(find_links(fps, bits), "simhash")
-    named = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(fps.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id")), "components-by-fingerprint")
+    # many rows may have one fingerprint, all empty texts have: those rows stay where they are
+    return join_counted(marked, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
