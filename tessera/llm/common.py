@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -27,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, at the end of a task in a Python worker. Workers live on between stages, and the C
+    library would keep what they have freed beside the heap that the next stage needs."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _WRITTEN: list[str] = []
 
 

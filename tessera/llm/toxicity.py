@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 P, DECAY, FLOOR, GAPPED, WIDTH, STEMS = 3, 0.85, 0.3, 0.75, 24, (4, 5, 6)
 #: Units are compared in matrices of these widths.
@@ -221,15 +221,13 @@ class Model:
                     known[part[k]] = len(rows)
                     rows.append(sims[k].copy())
 
-        def score(text, found):
-            if not any(known[t] >= 0 for t in found):
-                return base
+        def score(found):
             worst = self.bias
-            for sentence in _SENTENCE.split(text):
-                hits = {k for t in tokens(sentence) if (k := known.get(t, -1)) >= 0}
+            for sentence in found:
+                hits = {k for t in sentence if (k := known[t]) >= 0}
                 if hits:
                     worst = max(worst, self.bias + float(self.weights @ np.max([rows[k] for k in hits], axis=0)))
-            return float(self.probability(worst))
+            return base if worst == self.bias else float(self.probability(worst))
 
         def scores(texts: list[str | None]) -> list[float]:
             if not self.landmarks:
@@ -240,9 +238,10 @@ class Model:
             for i, t in enumerate(texts):  # a few million characters at a time
                 size += len(t)
                 if size > 4_000_000 or i == len(texts) - 1:
-                    found = [tokens(t) for t in texts[begin : i + 1]]
-                    learn(found)
-                    out += map(score, texts[begin : i + 1], found)
+                    # a sentence's own units: what other texts have taught must not matter
+                    found = [[tokens(s) for s in _SENTENCE.split(t)] for t in texts[begin : i + 1]]
+                    learn([units for sentences in found for units in sentences])
+                    out += map(score, found)
                     begin, size = i + 1, 0
             return out
 
@@ -395,6 +394,8 @@ def rated(model: Model, spark: SparkSession):
         scores = sent.value.scorer()
         for texts in batches:
             yield pd.Series(scores(texts.tolist()), dtype="float64")
+        del scores
+        give_back()
 
     rate.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}  # as types, not strings
     return F.pandas_udf(rate, "double")

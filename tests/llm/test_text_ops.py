@@ -261,3 +261,18 @@ def test_pipeline(spark):
     assert len(set(texts)) == len(texts)
     bench = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(b in decontaminate.normal(docs[r.doc_id].text) for r in rows for b in bench)
+
+
+def test_toxicity_scores_do_not_depend_on_other_texts():
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghijk", k=rnd.randrange(3, 9))) for _ in range(200)]
+    insults = ["stupid", "idiot", "worthless", "moron"]
+    text = lambda bad: " ".join(w + rnd.choice(["", "", ".", "!"]) for w in rnd.choices(words, k=30) + ([rnd.choice(insults)] * 2 if bad else []))
+    texts, labels = map(list, zip(*[(text(i % 2), i % 2) for i in range(200)]))
+    model = toxicity.train(texts, labels, rounds=60)
+    more = [text(i % 3 == 0) for i in range(120)] + ["Nothing here. You idiot.", "idiot", "", None]
+    whole = model.scorer()(more)
+    single = [model.scorer()([t])[0] for t in more]
+    turned = model.scorer()(more[::-1])[::-1]
+    assert np.allclose(whole, single) and np.allclose(whole, turned)
+    assert whole[-4] > 0.5 and whole[-1] == whole[-2] < 0.5
