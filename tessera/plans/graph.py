@@ -15,6 +15,7 @@ from tessera.operators import nearest as N
 from tessera.operators import rank as R
 from tessera.operators import tfidf as I
 from tessera.plans.registry import registry
+from tessera.sources import files
 from tessera.sources import surrogate as S
 from tessera.sources.surrogate import SQL, table
 
@@ -100,9 +101,9 @@ def _(spark, d):
 
 @query("graph_induced", W + ", keep AS (SELECT policy FROM policies WHERE level = 1 OR level = 2), ids AS (SELECT policy, row_number() OVER (ORDER BY policy) - 1 AS id FROM keep) SELECT a.id AS src, b.id AS dst FROM transmits JOIN ids a ON a.policy = parent JOIN ids b ON b.policy = child")
 def _(spark, d):
-    ids = S.policies(spark, d).where("level in (1, 2)").select("policy").withColumn("id", F.row_number().over(Window.orderBy("policy")) - 1)
-    e = S.transmits(spark, d).join(ids.select(F.col("policy").alias("parent"), F.col("id").cast("long").alias("src")), "parent")
-    return e.join(ids.select(F.col("policy").alias("child"), F.col("id").cast("long").alias("dst")), "child").select("src", "dst")
+    ids = files.dense_ids(S.policies(spark, d).where("level in (1, 2)"), "policy")
+    end = lambda name, to: ids.select(F.col("name").alias(name), F.col("id").cast("long").alias(to))
+    return S.transmits(spark, d).join(end("parent", "src"), "parent").join(end("child", "dst"), "child").select("src", "dst")
 
 
 @query("score_decay", W + "SELECT policy, round(power(0.8, abs(level - 1)) * exp(-0.15 * abs(2001 - year)), 6) AS a, round(exp(-0.2 * abs(level - 1 - 2)) * exp(-0.05 * abs(2001 - year)), 6) AS b, round(greatest(0, 1 - 0.1 * (2001 - year)) * greatest(0, 1 - 0.2 * (level - 1)), 6) AS lin FROM policies")

@@ -70,7 +70,19 @@ for _mode, _kinds in PARTS.items():
     query(f"retrieve_kg_{_mode}", _sql)(lambda spark, d, mode=_mode: _search(spark, d, mode))
 
 
-@query("retrieve_graph_ppr")
+_WALKS = 24  # at a damping of a half, what is left after these is under 1e-7
+_GRAPH_PPR = """WITH every AS (SELECT event_type AS subject, 'e' || event_id % 40 AS object, 'c' || event_id % 50 AS chunk FROM events),
+held AS (SELECT DISTINCT node, chunk FROM (SELECT subject AS node, chunk FROM every UNION ALL SELECT object, chunk FROM every)), n AS (SELECT node, count(*) AS n FROM held GROUP BY 1),
+top AS (SELECT * FROM events WHERE value IS NOT NULL AND user_id = 7 ORDER BY value DESC, event_id LIMIT 5),
+tp AS (SELECT value, unnest([event_type, 'e' || event_id % 40]) AS node FROM top), phrases AS (SELECT node, sum(value / n) / count(*) AS v FROM tp JOIN n USING (node) GROUP BY 1),
+tele AS (SELECT node, sum(v) AS v FROM (SELECT * FROM phrases UNION ALL SELECT chunk, 0.05 / count(*) FROM held GROUP BY 1) GROUP BY 1),
+e AS (SELECT chunk AS src, node AS dst, 1.0::DOUBLE AS w FROM held UNION ALL SELECT subject, object, count(*)::DOUBLE FROM every GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT src, dst, sum(w) / sum(sum(w)) OVER (PARTITION BY src) AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2),
+v AS MATERIALIZED (SELECT node, coalesce(v, 0) / (SELECT sum(v) FROM tele) AS v FROM (SELECT DISTINCT src AS node FROM m) LEFT JOIN tele USING (node)), p0 AS (SELECT node, v AS p FROM v)""" + "".join(f""",
+p{k + 1} AS MATERIALIZED (SELECT node, 0.5 * coalesce(f, 0) + 0.5 * v AS p FROM v LEFT JOIN (SELECT dst AS node, sum(w * p) AS f FROM m JOIN p{k} ON src = node GROUP BY 1) USING (node))""" for k in range(_WALKS))
+
+
+@query("retrieve_graph_ppr", _GRAPH_PPR + f" SELECT node AS chunk, round(p * 1000, 4) AS score FROM p{_WALKS} WHERE regexp_matches(node, '^c[0-9]+$')")
 def _(spark, d):
     """The facts of a query give phrase weights, passages a small prior; a PageRank from both ranks the passages."""
     f = table(spark, d, "events").where("value is not null and user_id = 7").select(F.col("event_type").alias("subject"), F.concat(F.lit("e"), F.col("event_id") % 40).alias("object"), "value", "event_id", F.concat(F.lit("c"), F.col("event_id") % 50).alias("chunk"))
@@ -82,7 +94,7 @@ def _(spark, d):
     prior = held.groupBy(F.col("chunk").alias("node")).agg((0.05 / F.count(F.lit(1))).alias("v"))
     edges = held.select(F.col("chunk").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w")).unionByName(every.select(F.col("subject").alias("src"), F.col("object").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    p = G.pagerank(nodes, G.transition(edges, reverse=1.0), damping=0.5, steps=30, teleport=phrases.unionByName(prior))
+    p = G.pagerank(nodes, G.transition(edges, reverse=1.0), damping=0.5, steps=_WALKS, tol=0.0, teleport=phrases.unionByName(prior))
     return p.where(F.col("node").startswith("c") & F.col("node").rlike("^c[0-9]+$")).select(F.col("node").alias("chunk"), F.round(F.col("p") * 1000, 4).alias("score"))
 
 
