@@ -98,7 +98,8 @@ def load(spark: SparkSession, folder: str) -> Index:
 
 
 def probed(index: Index, queries: DataFrame, probes: int) -> DataFrame:
-    """qid, q, list: the ``probes`` lists whose centroids are nearest to each query; of equally near ones the first."""
+    """qid, q, list, pos: the ``probes`` lists whose centroids are nearest to each query, from pos 0 on; of equally near ones
+    the first."""
     c = index.centroids
     probes = min(probes, len(c))
 
@@ -109,10 +110,11 @@ def probed(index: Index, queries: DataFrame, probes: int) -> DataFrame:
                 near = q @ c.T if c.size else np.zeros((len(q), len(c)))  # an empty index has a list without dimensions
                 at = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
                 row = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([batch.column("qid").take(row), batch.column("q").take(row), pa.array(at.ravel())], ["qid", "q", "list"])
+                pos = pa.array(np.tile(np.arange(probes, dtype=np.int32), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([batch.column("qid").take(row), batch.column("q").take(row), pa.array(at.ravel()), pos], ["qid", "q", "list", "pos"])
 
     asked = queries.where("qid is not null and q is not null").select("qid", F.col("q").cast("array<double>").alias("q"))
-    return asked.mapInArrow(pick, "qid long, q array<double>, list int")
+    return asked.mapInArrow(pick, "qid long, q array<double>, list int, pos int")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, least: float = -math.inf, block: int = 4096, measure: str = "cosine") -> DataFrame:
@@ -134,6 +136,21 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, least: float =
     return R.rank(found).where(F.col("rank") <= k).drop("rank")
 
 
+def probes_for(index: Index, queries: DataFrame, rows: DataFrame, k: int, target: float, sample: int = 64) -> tuple[int, float]:
+    """(probes, recall): the fewest probes by which the exact ``k`` neighbours of some ``sample`` queries, chosen by their hash, are
+    found at ``target`` or more, and what they find. One exact search of the sample gives the recall for every number."""
+    some = queries.orderBy(F.xxhash64("qid"), "qid").limit(sample)
+    near = N.top_k(some, rows, k).join(index.postings.select("item", "list"), "item")
+    at = near.join(probed(index, some, len(index.centroids)).select("qid", "list", "pos"), ["qid", "list"])
+    counts = dict(at.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a list at most
+    total, found = sum(counts.values()), 0
+    for pos in range(len(index.centroids)):
+        found += counts.get(pos, 0)
+        if total and found >= target * total:
+            return pos + 1, found / total
+    return len(index.centroids), 1.0
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: queries, and the mean share of a query's exact neighbours (qid, item) that were found."""
     hits = exact.select("qid", "item").join(found.select("qid", "item", F.lit(1).alias("hit")), ["qid", "item"], "left")

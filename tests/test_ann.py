@@ -30,6 +30,9 @@ def test_recall_rises_and_rows_read_with_the_probes(spark, rows, tmp_path):
         read.append(index.rows_read(asked.where("qid = 0"), probes))
     assert found[0] <= found[1] and found[1] >= 0.9 and found[2] == 1.0
     assert read[0] < 2003 / 8 and read[0] < read[1] < read[2] == 2003
+    probes, share = A.probes_for(index, asked, rows, 10, 0.9, 50)
+    assert probes <= 6 and share >= 0.9
+    assert A.recall(A.search(index, asked, 10, probes), exact).first().recall >= 0.85
     same = lambda df: sorted(map(tuple, df.collect()))
     assert same(A.search(A.load(spark, str(tmp_path / "index")), asked, 10, 40)) == same(exact)
 
