@@ -31,9 +31,14 @@ def _degrees(graph: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("w").alias("k"))
 
 
-def modularity(graph: DataFrame, labels: DataFrame) -> float:
+def _sender(rows: int, most: int = 10_000):
+    """Sends tables of up to ``rows`` rows to all tasks if that is no more than ``most``; larger ones are shuffled."""
+    return F.broadcast if rows <= most else lambda df: df
+
+
+def modularity(graph: DataFrame, labels: DataFrame, sent=lambda df: df) -> float:
     """Of graph (a, b, w) under labels (node, label): the share of weight within communities less what chance would give."""
-    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    at = lambda end: sent(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")))
     wide = graph.join(at("a"), "a").join(at("b"), "b")
     ends = wide.select(F.explode(F.array(*[F.struct(F.col(f"label_{e}").alias("label"), F.col("w").alias("k")) for e in "ab"])).alias("e"), F.lit(0.0).alias("inner"))
     inner = wide.where("label_a = label_b").select(F.col("label_a").alias("label"), F.lit(0.0).alias("k"), F.col("w").alias("inner"))
@@ -42,14 +47,13 @@ def modularity(graph: DataFrame, labels: DataFrame) -> float:
     return 2 * row.inner / row.k2 - row.sq / row.k2**2 if row.k2 else 0.0
 
 
-def _wishes(both: DataFrame, state: DataFrame, double: float) -> DataFrame:
+def _wishes(both: DataFrame, state: DataFrame, double: float, sent) -> DataFrame:
     """node, to: the community with the best gain of each node for which moving gains anything."""
     near = state.select(F.col("node").alias("dst"), F.col("label").alias("to"))
-    linked = both.join(near, "dst").groupBy("src", "to").agg(F.sum("w").alias("w"))
-    own = state.select(F.col("node").alias("src"), F.col("label").alias("to"), F.lit(0.0).alias("w"))
-    linked = linked.unionByName(own).groupBy("src", "to").agg(F.sum("w").alias("w"))  # its own is a choice without links too
+    own = state.select(F.col("node").alias("src"), F.col("label").alias("to"), F.lit(0.0).alias("w"))  # a choice without links too
+    linked = both.join(sent(near), "dst").select("src", "to", "w").unionByName(own).groupBy("src", "to").agg(F.sum("w").alias("w"))
     total = state.groupBy(F.col("label").alias("to")).agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members"))
-    wide = linked.join(total, "to").join(state.select(F.col("node").alias("src"), "label", "k"), "src")
+    wide = linked.join(sent(total), "to").join(sent(state.select(F.col("node").alias("src"), "label", "k")), "src")
     here = F.col("to") == F.col("label")
     others = F.col("total") - F.when(here, F.col("k")).otherwise(F.lit(0.0))
     gain = F.round(F.col("w") - F.col("k") * others / double, 12)
@@ -62,23 +66,24 @@ def _wishes(both: DataFrame, state: DataFrame, double: float) -> DataFrame:
     return out.where((F.col("best.gain") > F.col("stay") + _EPS) & fine).select(F.col("src").alias("node"), F.col("best.to").alias("to"))
 
 
-def local_moves(graph: DataFrame, rounds: int = 12, tries: int = 3, least: float = 1e-3) -> tuple[DataFrame, float]:
+def local_moves(graph: DataFrame, rounds: int = 8, tries: int = 2, least: float = 1e-2) -> tuple[DataFrame, float]:
     """(node, label) and its modularity after moves between the communities of single nodes; stops at a gain under ``least``."""
     graph = cut(graph)
     loose = graph.where("a <> b")
     both = cut(loose.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(loose.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")))
     state = cut(_degrees(graph).select("node", F.col("node").alias("label"), "k"))
-    double = state.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
-    best = modularity(graph, state)
+    double, nodes = state.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.count(F.lit(1))).first()
+    sent = _sender(nodes)
+    best = modularity(graph, state, sent)
     if not double:
         return state.select("node", "label"), best
     for step in range(rounds):
-        wishes = cut(_wishes(both, state, double))
+        wishes = cut(_wishes(both, state, double, sent))
         part, gained = 2 if step % 2 else 1, False  # at first all, then halves; fewer where that doesn't help
         for _ in range(tries):
             chosen = wishes.where(F.pmod(F.xxhash64("node", F.lit(step)), F.lit(part)) == 0)
-            new = cut(state.join(chosen, "node", "left").select("node", F.coalesce("to", "label").alias("label"), "k"))
-            found = modularity(graph, new)
+            new = cut(state.join(sent(chosen), "node", "left").select("node", F.coalesce("to", "label").alias("label"), "k"))
+            found = modularity(graph, new, sent)
             if found > best + _EPS:
                 gained = True
                 break
@@ -98,7 +103,7 @@ def contract(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return weighted(wide.select(F.col("label_a").alias("src"), F.col("label_b").alias("dst"), "w"), "w")
 
 
-def communities(edges: DataFrame, weight: str | None = None, levels: int = 10, rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame, weight: str | None = None, levels: int = 10, rounds: int = 8) -> DataFrame:
     """node, community: the community's name is that of one of its nodes. Edges (src, dst); nodes only with loops are alone."""
     graph = cut(weighted(edges, weight))
     names, best = None, None
