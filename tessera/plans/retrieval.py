@@ -202,7 +202,7 @@ def _(spark, d):
     # h + r is made once for each query; then only a distance is left
     asked = e.where("vec_id % 20 = 0").crossJoin(F.broadcast(relation)).select(F.col("vec_id").alias("qid"), F.zip_with("v", "r", lambda a, b: a + b).alias("q"))  # one row
     near = N.top_k(asked, e.select(F.col("vec_id").alias("item"), "v"), 10, measure="l1")
-    return near.select("qid", "item", F.round(1 / (1 - F.col("score")), 6).alias("score"))
+    return near.select("qid", "item", F.round(F.round(1 / (1 - F.col("score")), 9), 6).alias("score"))
 
 
 @query("resolve_industries", "WITH q AS (SELECT DISTINCT p_type AS ask FROM part), m AS (SELECT n_name AS word, n_regionkey AS mi FROM nation UNION ALL SELECT r_name, r_regionkey FROM region UNION ALL SELECT DISTINCT split_part(p_type, ' ', 1), length(p_type) % 5 FROM part), e AS (SELECT DISTINCT ask, mi FROM q JOIN m ON ask = word) SELECT * FROM e UNION SELECT ask, mi FROM q JOIN m ON contains(ask, word) OR contains(word, ask) WHERE ask NOT IN (SELECT ask FROM e)")

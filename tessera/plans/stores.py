@@ -187,7 +187,7 @@ def _(spark, d):
     # t - r is made once for each query; then only a distance is left for each pair.
     asked = e.where("vec_id % 20 = 0").crossJoin(F.broadcast(relation)).select(F.col("vec_id").alias("qid"), F.zip_with("v", "r", lambda a, b: a - b).alias("q"))
     near = N.top_k(asked, e.select(F.col("vec_id").alias("item"), "v"), 10, measure="l1")
-    return near.select("qid", "item", F.round(1 / (1 - F.col("score")), 6).alias("score"))
+    return near.select("qid", "item", F.round(F.round(1 / (1 - F.col("score")), 9), 6).alias("score"))
 
 
 # texts and queries ----------------------------------------------------------------------------------------------
