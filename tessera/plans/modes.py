@@ -51,7 +51,7 @@ def _search(spark, d, mode):
 
     def hits(rows, k):
         """qid, item, pos of the k nearest of the rows (item, vec)."""
-        near = N.top_k(asked, rows.join(e, "vec").select("item", "v"), k, measure="dot", own=True)
+        near = N.top_k(asked, rows.join(e, "vec").select("item", "v"), k, measure="dot", own=True, digits=6)
         return R.rank(near).select("qid", "item", F.col("rank").alias("pos"))
 
     nodes = hits(t.select(F.col("policy").alias("item"), (F.col("policy") % z).alias("vec")).distinct(), 5)
