@@ -42,17 +42,19 @@ def source_chunks(hits: DataFrame, held: DataFrame) -> DataFrame:
     return _ranked(n, F.col("chunk"), F.desc("n"), "p", "chunk")
 
 
-def search(mode: str, nodes: DataFrame, relations: DataFrame, chunks: DataFrame, edges: DataFrame, held: DataFrame, most: int = 40) -> DataFrame:
+def search(
+    mode: str, nodes: DataFrame | None, relations: DataFrame | None, chunks: DataFrame | None, edges: DataFrame | None, held: DataFrame | None, most: int = 40
+) -> DataFrame:
     """qid, kind (entity, relation, chunk), item, pos of one of the ``MODES``.
 
     nodes (qid, item, pos), relations (qid, src, dst, pos) and chunks (qid, item, pos) are the hits of the vector
     searches; edges (src, dst, w) the graph; held (item, chunk) the chunks of an entity or of a relation ``src|dst``.
     local starts at the nodes, global at the relations, hybrid interleaves both, mix adds the chunk hits, naive gives
-    only these, bypass nothing.
+    only these, bypass nothing. What a mode doesn't use may be None.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    hit_edges = relations.select("qid", edge_key().alias("item"), "pos")
+    hit_edges = None if relations is None else relations.select("qid", edge_key().alias("item"), "pos")
     parts: dict[str, list[DataFrame]] = {"entity": [], "relation": [], "chunk": []}
     if mode in ("local", "hybrid", "mix"):
         parts["entity"].append(nodes)
@@ -64,7 +66,8 @@ def search(mode: str, nodes: DataFrame, relations: DataFrame, chunks: DataFrame,
         parts["chunk"].append(source_chunks(hit_edges, held))
     if mode in ("naive", "mix"):
         parts["chunk"].append(chunks)
-    out = nodes.where(F.lit(False)).select("qid", F.lit("entity").alias("kind"), F.col("item").cast("string").alias("item"), F.col("pos").cast("int").alias("pos"))
+    some = next(x for x in (nodes, hit_edges, chunks) if x is not None)
+    out = some.where(F.lit(False)).select("qid", F.lit("entity").alias("kind"), F.col("item").cast("string").alias("item"), F.col("pos").cast("int").alias("pos"))
     for kind, lists in parts.items():
         if lists:
             merged = round_robin(lists).where(F.col("pos") <= most)

@@ -47,22 +47,28 @@ def _search(spark, d, mode):
     asked = e.where("vec % 20 = 0").select(F.col("vec").alias("qid"), F.col("v").alias("q"))  # the stated queries
     z = e.count()
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    t = S.targets(spark, d).select(key("P", "policy").alias("src"), key("S", "si").alias("dst"), F.col("conf").alias("w"), "policy", "si")
 
     def hits(rows, k):
-        """qid, item, pos of the k nearest of the rows (item, vec)."""
-        near = N.top_k(asked, rows.join(e, "vec").select("item", "v"), k, measure="dot", own=True, digits=6)
+        """qid, item, pos of the k nearest of the rows (item, vec). Rows of one vector have one score, so only the k least
+        items of each can be among the k nearest."""
+        first = rows.withColumn("k", F.row_number().over(Window.partitionBy("vec").orderBy("item"))).where(F.col("k") <= k)
+        near = N.top_k(asked, first.join(e, "vec").select("item", "v"), k, measure="dot", own=True, digits=6)
         return R.rank(near).select("qid", "item", F.col("rank").alias("pos"))
 
-    nodes = hits(t.select(F.col("policy").alias("item"), (F.col("policy") % z).alias("vec")).distinct(), 5)
-    nodes = nodes.select("qid", key("P", "item").alias("item"), "pos")
-    pairs = t.select(F.concat_ws("\x01", "src", "dst").alias("item"), ((F.col("policy") * 3 + F.col("si")) % z).alias("vec"))
-    ends = F.split("item", "\x01")
-    relations = hits(pairs, 5).select("qid", ends[0].alias("src"), ends[1].alias("dst"), "pos")
-    chunks = hits(e.select(F.col("vec").alias("item"), "vec"), 40).select("qid", key("c", "item").alias("item"), "pos")
-    chunk = lambda c: F.concat(F.lit("c"), (c % z).cast("string")).alias("chunk")
-    held = t.select(F.col("src").alias("item"), chunk(F.col("policy"))).unionByName(t.select(T.edge_key().alias("item"), chunk(F.col("policy") + F.col("si")))).distinct()
-    return T.search(mode, nodes, relations, chunks, t.select("src", "dst", "w"), held)
+    chunks = nodes = relations = edges = held = None
+    if mode in ("naive", "mix"):
+        chunks = hits(e.select(F.col("vec").alias("item"), "vec"), 40).select("qid", key("c", "item").alias("item"), "pos")
+    if mode != "naive":
+        t = G.cut(S.targets(spark, d)).select(key("P", "policy").alias("src"), key("S", "si").alias("dst"), F.col("conf").alias("w"), "policy", "si")  # read several times
+        nodes = hits(t.select(F.col("policy").alias("item"), (F.col("policy") % z).alias("vec")).distinct(), 5)
+        nodes = G.cut(nodes.select("qid", key("P", "item").alias("item"), "pos"))
+        pairs = t.select(F.concat_ws("\x01", "src", "dst").alias("item"), ((F.col("policy") * 3 + F.col("si")) % z).alias("vec"))
+        ends = F.split("item", "\x01")
+        relations = G.cut(hits(pairs, 5).select("qid", ends[0].alias("src"), ends[1].alias("dst"), "pos"))
+        chunk = lambda c: F.concat(F.lit("c"), (c % z).cast("string")).alias("chunk")
+        held = t.select(F.col("src").alias("item"), chunk(F.col("policy"))).unionByName(t.select(T.edge_key().alias("item"), chunk(F.col("policy") + F.col("si"))))
+        edges = t.select("src", "dst", "w")
+    return T.search(mode, nodes, relations, chunks, edges, held)
 
 
 for _mode, _kinds in PARTS.items():
