@@ -4,8 +4,8 @@ Toxic documents go, then exact copies, then near-duplicates (shingles of five wo
 stays), then documents that hold a benchmark passage. What is left is encoded and decoded with a byte-level
 tokenizer.
 
-The near-duplicate stage verifies the Jaccard similarity of min-hash candidates rather than SimHash fingerprints: at 0.8
-fingerprints differ in some ten bits (README). Null texts count as empty in each stage. Rows with a null id stay unless
+The near-duplicate stage finds copies by SimHash fingerprints through anchors, then by min-hashes what fingerprints leave apart (at
+0.8 they differ in some ten bits, README); each link is verified by its Jaccard similarity. Null texts count as empty in each stage. Rows with a null id stay unless
 they are exact copies; rows that repeat an id and a text are one document. An empty table gives an empty result. Columns
 beside those of ``documents`` are kept up to the last stage, which returns digests.
 """
@@ -62,7 +62,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-STAGES = [("toxicity", civil), ("exact_dedup", unique), ("near_copies", distinct), ("decontamination", clean), ("byte_bpe", encoded)]
+STAGES = [("toxicity", civil), ("exact_dedup", unique), ("simhash", distinct), ("decontamination", clean), ("byte_bpe", encoded)]
 ORACLE_SQL = None
 
 

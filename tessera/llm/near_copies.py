@@ -170,14 +170,21 @@ def _in_blocks(rows: DataFrame, texts: DataFrame, words: int, similarity: float)
     return sent.select("pair", "node", "comp", "shingles").mapInArrow(compare, "a long, b long").distinct()
 
 
-def find_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) among the rows (node, text) that span the components of all candidate pairs of ``similarity``."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Those of the pairs (a, b) of rows (node, text) whose sets reach ``similarity``."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _verified(pairs, docs.join(nodes, "node", "left_semi"), words, similarity).distinct()
+
+
+def find_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the rows (node, text) that span the components of all candidate pairs of ``similarity`` and of the
+    ``known`` links: what these connect is not compared again."""
     rows = materialize(_keys(docs, words), "bands")
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     rows = materialize(rows.join(shared, "key"), "shared-bands")
     texts = materialize(docs.join(rows.select("node").distinct(), "node", "left_semi"), "candidates")
     sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")  # else the sets can't be that similar
-    links = tried = None
+    links, tried = known, None
     for pick in (F.min, F.max, None):
         if links is None:
             now = rows.withColumn("comp", F.col("node"))
@@ -215,12 +222,13 @@ def find_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     return docs.sparkSession.createDataFrame([], "a long, b long") if links is None else links
 
 
-def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, known=None) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component of near-copies, with all their columns.
 
     Rows with a null id stay. Null texts count as empty; of the texts without words one id stays. Rows of one id stay or
-    go together, whatever their texts. An empty table gives an empty table.
+    go together, whatever their texts. An empty table gives an empty table. ``known`` gives links of the rows (node, text) that are
+    already found, by another search.
     """
     rows = docs.select(F.col(ident).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("node is not null")
-    gone = components(find_links(rows, words, similarity), "near-copies").select(F.col("node").alias("__gone_id"))
+    gone = components(find_links(rows, words, similarity, known(rows) if known else None), "near-copies").select(F.col("node").alias("__gone_id"))
     return docs.join(gone, F.col(ident).cast("long") == F.col("__gone_id"), "left_anti")

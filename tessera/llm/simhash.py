@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import components, join_counted, materialize, table
-from .near_copies import keep_first as keep_first  # the rule of the pipeline; fingerprints alone are op1's
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: (first bit, bits) of each block.
@@ -183,6 +183,26 @@ def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     return join_counted(marked, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_links(rows: DataFrame, words: int = 5, bits: int = 4, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) among the rows (node, text): of equal fingerprints or found through anchors, each verified on the whole sets."""
+    marked = materialize(with_fingerprints(rows, "node", "text", words), "fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    same = join_counted(marked, fps.where("n > 1"), ["fp"]).where("node is not null and node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    pairs = materialize(same.unionByName(find_links(fps, bits)).distinct(), "pairs")
+    return materialize(near_copies.verified(pairs, rows, words, similarity), "links")
+
+
+def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component of near-copies, with all their columns.
+
+    Near-copies have sets of shingles with a Jaccard similarity of ``similarity`` or more. Those of ``bits`` or fewer differing
+    bits are found by their fingerprints (near_links); what these leave apart is searched by min-hashes, as at 0.8 most
+    fingerprints differ in more bits. Rows with a null id stay. Null texts count as empty; of the texts without words one id stays. Rows
+    of one id stay or go together, whatever their texts. An empty table gives an empty table.
+    """
+    return near_copies.keep_first(docs, ident, text, words, similarity, lambda rows: near_links(rows, words, bits, similarity))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
