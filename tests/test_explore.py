@@ -127,6 +127,47 @@ def test_betweenness_of_pivots_is_near(spark):
     assert E.pivots(df.select(df.src.alias("node")).distinct(), 7).count() == 7
 
 
+@pytest.mark.parametrize(("sent", "most"), [(0, 12), (4_000_000, 12), (4_000_000, 4096)])
+def test_betweenness_folds_without_loss(spark, monkeypatch, sent, most):
+    """Trees, a chain, a pair and a core: the values of the same pivots on the whole graph, by blocks and by tables."""
+    import random
+
+    monkeypatch.setattr(E, "_SENT", sent)
+    rnd = random.Random(9)
+    pairs = [(i, rnd.randrange(8)) for i in range(8, 24)] + [(i, i - 8) for i in range(24, 30)] + [(rnd.randrange(8), rnd.randrange(8)) for _ in range(16)]
+    pairs += [(100, 101), (101, 102), (102, 103), (200, 201)] + [(300 + i, 300 + (i + 1) % 4) for i in range(4)] + [(300, 310), (310, 311)]
+    names = sorted({x for p in pairs for x in p})
+    n = len(names)
+    a = np.zeros((n, n))
+    for x, y in pairs:
+        if x != y:
+            a[names.index(x), names.index(y)] = a[names.index(y), names.index(x)] = 1
+    dist, count = np.where(np.eye(n) > 0, 0.0, np.nan), np.eye(n)
+    for d in range(n):
+        near = np.where(dist == d, count, 0) @ a
+        new = (near > 0) & np.isnan(dist)
+        dist[new], count[new] = d + 1, near[new]
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    chosen = {r.node for r in E.pivots(df.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), most).collect()}
+    want = np.zeros(n)
+    for s in (i for i, x in enumerate(names) if x in chosen):
+        for v in (v for v in range(n) if v != s):
+            through = (dist[s, v] + dist[v] == dist[s]) & (np.arange(n) != v)
+            want[v] += (count[s, v] * count[v, through] / count[s, through]).sum()
+    want *= n / min(n, most) / ((n - 1) * (n - 2))
+    got = {r.node: r.b for r in E.betweenness(df, most=most).collect()}
+    assert sorted(got) == names and np.allclose([got[x] for x in names], want, atol=1e-12)
+
+
+def test_a_star_folds_into_its_middle(spark):
+    """Nothing is walked from node to node where each has one way out."""
+    both = E.both_ways(spark.createDataFrame([(0, i) for i in range(1, 300)], "src long, dst long"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    nodes = both.select(F.col("src").alias("node"), one.alias("size"), one.alias("p"), none.alias("q"), none.alias("x")).distinct()
+    edges, left, gone = E.folded(both, nodes)
+    assert edges.isEmpty() and [tuple(r) for r in left.collect()] == [(0, 300, 300, 299, 299)] and len(gone) == 1
+
+
 def slow_modularity(pairs, label):
     m = sum(w for _, _, w in pairs)
     k, inner = Counter(), 0.0
