@@ -1,18 +1,19 @@
 """Communities of greatest modularity: nodes move between communities, communities become nodes, and again.
 
-Undirected, weighted. A round gives every node the community with the best gain, from one aggregate of the edges; only a part
-of the nodes that want to move, chosen by a hash, does so, as two that move at once may undo each other's gain. A round
-counts if modularity rises, else it is tried again with half as many nodes. So modularity never falls, and the result is
-the same in every run. When no round helps, each community becomes one node (its inner weight a loop) and the moves
-start again on the smaller graph.
+Undirected, weighted. Nodes that hang on one neighbour are with it in every best partition, so they join it first. A round
+gives every node the community with the best gain, from one aggregate of the edges; only a part of the nodes that want to
+move, chosen by a hash, does so, as two that move at once may undo each other's gain. A round counts if modularity rises, else
+it is tried again with half as many nodes. So modularity never falls, and the result is the same in every run. The pass
+that finds the next wishes also sums up the modularity, so that a try is one job. When no round helps, each community
+becomes one node (its inner weight a loop) and the moves start again on the smaller graph.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import stored
 
 #: Gains below this are noise of the sums.
 _EPS = 1e-12
@@ -31,14 +32,9 @@ def _degrees(graph: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("w").alias("k"))
 
 
-def _sender(rows: int, most: int = 10_000):
-    """Sends tables of up to ``rows`` rows to all tasks if that is no more than ``most``; larger ones are shuffled."""
-    return F.broadcast if rows <= most else lambda df: df
-
-
-def modularity(graph: DataFrame, labels: DataFrame, sent=lambda df: df) -> float:
+def modularity(graph: DataFrame, labels: DataFrame) -> float:
     """Of graph (a, b, w) under labels (node, label): the share of weight within communities less what chance would give."""
-    at = lambda end: sent(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")))
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
     wide = graph.join(at("a"), "a").join(at("b"), "b")
     ends = wide.select(F.explode(F.array(*[F.struct(F.col(f"label_{e}").alias("label"), F.col("w").alias("k")) for e in "ab"])).alias("e"), F.lit(0.0).alias("inner"))
     inner = wide.where("label_a = label_b").select(F.col("label_a").alias("label"), F.lit(0.0).alias("k"), F.col("w").alias("inner"))
@@ -47,53 +43,67 @@ def modularity(graph: DataFrame, labels: DataFrame, sent=lambda df: df) -> float
     return 2 * row.inner / row.k2 - row.sq / row.k2**2 if row.k2 else 0.0
 
 
-def _wishes(both: DataFrame, state: DataFrame, double: float, sent) -> DataFrame:
-    """node, to: the community with the best gain of each node for which moving gains anything."""
+def _looked(both: DataFrame, state: DataFrame, double: float, loops: float) -> tuple[DataFrame, float, int]:
+    """State (node, label, k) with ``to``, the community with the best gain of each node for which moving gains anything, else
+    null; the modularity of the state; the number of wishes. All in one job."""
     near = state.select(F.col("node").alias("dst"), F.col("label").alias("to"))
     own = state.select(F.col("node").alias("src"), F.col("label").alias("to"), F.lit(0.0).alias("w"))  # a choice without links too
-    linked = both.join(sent(near), "dst").select("src", "to", "w").unionByName(own).groupBy("src", "to").agg(F.sum("w").alias("w"))
+    linked = both.join(near, "dst").select("src", "to", "w").unionByName(own).groupBy("src", "to").agg(F.sum("w").alias("w"))
     total = state.groupBy(F.col("label").alias("to")).agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members"))
-    wide = linked.join(sent(total), "to").join(sent(state.select(F.col("node").alias("src"), "label", "k")), "src")
+    wide = linked.join(total, "to").join(state.select(F.col("node").alias("src"), "label", "k"), "src")
     here = F.col("to") == F.col("label")
     others = F.col("total") - F.when(here, F.col("k")).otherwise(F.lit(0.0))
-    gain = F.round(F.col("w") - F.col("k") * others / double, 12)
-    best = F.max_by(F.struct("to", "members", F.col("to").alias("label"), "gain"), F.struct(gain, here.cast("int"), -F.xxhash64("to")))
-    scored = wide.withColumn("gain", gain)
-    alone = F.max(F.when(here, F.col("members")))
-    out = scored.groupBy("src").agg(best.alias("best"), F.max(F.when(here, F.col("gain"))).alias("stay"), alone.alias("alone"), F.max("label").alias("label"))
-    # two that are alone would change places: only towards the lesser name
-    fine = (F.col("best.members") > 1) | (F.col("alone") > 1) | (F.col("best.to") < F.col("label"))
-    return out.where((F.col("best.gain") > F.col("stay") + _EPS) & fine).select(F.col("src").alias("node"), F.col("best.to").alias("to"))
+    scored = wide.withColumn("gain", F.round(F.col("w") - F.col("k") * others / double, 12))
+    best = F.max_by(F.struct("to", "members", "total", "gain"), F.struct("gain", here.cast("int"), -F.xxhash64("to")))
+    stay = F.max(F.when(here, F.struct("gain", "w", "total", "members")))
+    out = scored.groupBy("src").agg(best.alias("best"), stay.alias("stay"), F.max("label").alias("label"), F.max("k").alias("k"))
+    # two that are alone would change places: only towards the one of more weight, of equals the lesser name
+    weight = F.round(F.col("best.total"), 9) - F.round("k", 9)
+    fine = (F.col("best.members") > 1) | (F.col("stay.members") > 1) | (weight > 0) | ((weight == 0) & (F.col("best.to") < F.col("label")))
+    to = F.when((F.col("best.gain") > F.col("stay.gain") + _EPS) & fine, F.col("best.to"))
+    sums = Observation()  # of what is written, in the same pass
+    rows = out.select(F.col("src").alias("node"), "label", "k", to.alias("to"), F.col("stay.w").alias("inner"), (F.col("k") * F.col("stay.total")).alias("sq"))
+    rows = stored(rows.observe(sums, F.sum("inner").alias("inner"), F.sum("sq").alias("sq"), F.count("to").alias("wishes")).drop("inner", "sq"))
+    found = sums.get
+    return rows, ((found["inner"] or 0.0) + 2 * loops) / double - (found["sq"] or 0.0) / double**2, found["wishes"]
 
 
 def local_moves(graph: DataFrame, rounds: int = 8, tries: int = 2, least: float = 1e-2) -> tuple[DataFrame, float]:
     """(node, label) and its modularity after moves between the communities of single nodes; stops at a gain under ``least``."""
-    graph = cut(graph)
     loose = graph.where("a <> b")
-    both = cut(loose.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(loose.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")))
-    state = cut(_degrees(graph).select("node", F.col("node").alias("label"), "k"))
-    double, nodes = state.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.count(F.lit(1))).first()
-    sent = _sender(nodes)
-    best = modularity(graph, state, sent)
-    if not double:
-        return state.select("node", "label"), best
+    both = loose.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(loose.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+    state = _degrees(graph).select("node", F.col("node").alias("label"), "k")
+    weight, loops = graph.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0))).first()
+    if not weight:
+        return state.select("node", "label"), 0.0
+    seen, best, wishes = _looked(both, stored(state), 2 * weight, loops)
     for step in range(rounds):
-        wishes = cut(_wishes(both, state, double, sent))
         part, gained = 2 if step % 2 else 1, False  # at first all, then halves; fewer where that doesn't help
-        for _ in range(tries):
-            chosen = wishes.where(F.pmod(F.xxhash64("node", F.lit(step)), F.lit(part)) == 0)
-            new = cut(state.join(sent(chosen), "node", "left").select("node", F.coalesce("to", "label").alias("label"), "k"))
-            found = modularity(graph, new, sent)
+        for _ in range(tries if wishes else 0):
+            chosen = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(part)) == 0
+            moved = seen.select("node", F.when(chosen, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label"), "k")
+            after, found, left = _looked(both, moved, 2 * weight, loops)
             if found > best + _EPS:
                 gained = True
                 break
             part *= 2
         if not gained:
             break
-        state, rose, best = new, found - best, found
+        seen, wishes, rose, best = after, left, found - best, found
         if rose < least:
             break
-    return state.select("node", "label"), best
+    return seen.select("node", "label"), best
+
+
+def hanging(graph: DataFrame) -> DataFrame:
+    """node, label: a node with one neighbour and no loop is with its neighbour, any other with itself. The best partition keeps
+    such two together (weights not negative): alone or elsewhere the node adds nothing, with its neighbour it gains."""
+    ends = graph.select(F.col("a").alias("node"), F.col("b").alias("near"), "w").unionByName(graph.where("a <> b").select(F.col("b").alias("node"), F.col("a").alias("near"), "w"))
+    nodes = ends.groupBy("node").agg((F.count(F.lit(1)) == 1).alias("single"), F.min("near").alias("near"), F.min("w").alias("w"))
+    leaf = F.col("single") & (F.col("near") != F.col("node")) & (F.col("w") > 0)
+    nodes = stored(nodes.select("node", F.when(leaf, F.col("near")).alias("near")))
+    pairs = nodes.where("near < node").select(F.col("near").alias("node"), F.col("node").alias("near"), F.lit(True).alias("mutual"))  # of two that hang on each other the lesser stays
+    return nodes.join(pairs, ["node", "near"], "left").select("node", F.when(F.col("mutual").isNull(), F.coalesce("near", "node")).otherwise(F.col("node")).alias("label"))
 
 
 def contract(graph: DataFrame, labels: DataFrame) -> DataFrame:
@@ -105,19 +115,19 @@ def contract(graph: DataFrame, labels: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, weight: str | None = None, levels: int = 10, rounds: int = 8) -> DataFrame:
     """node, community: the community's name is that of one of its nodes. Edges (src, dst); nodes only with loops are alone."""
-    graph = cut(weighted(edges, weight))
-    names, best = None, None
+    graph = stored(weighted(edges, weight))
+    labels = stored(hanging(graph))
+    names, best = labels.withColumnRenamed("label", "community"), None
+    graph = stored(contract(graph, labels))
     for _ in range(levels):
         labels, found = local_moves(graph, rounds)
-        labels = cut(labels)
         if best is not None and found <= best + _EPS:
             break
         best = found
         up = labels.withColumnsRenamed({"node": "community", "label": "__up"})
-        names = labels.withColumnRenamed("label", "community") if names is None else names.join(up, "community").select("node", F.col("__up").alias("community"))
-        names = cut(names)
+        names = stored(names.join(up, "community").select("node", F.col("__up").alias("community")))
         if labels.where("node <> label").isEmpty():
             break
-        graph = cut(contract(graph, labels))
+        graph = stored(contract(graph, labels))
     least = names.groupBy("community").agg(F.min("node").alias("least"))
     return names.join(least, "community").select("node", F.col("least").alias("community"))
