@@ -27,9 +27,10 @@ def weighted(edges: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def _degrees(graph: DataFrame) -> DataFrame:
-    """node, k: a loop counts twice."""
-    ends = graph.select(F.col("a").alias("node"), "w").unionByName(graph.select(F.col("b").alias("node"), "w"))
-    return ends.groupBy("node").agg(F.sum("w").alias("k"))
+    """node, k, loop, lone: a loop counts twice; a lone node has no other link."""
+    inner = F.col("a") == F.col("b")
+    ends = graph.select(F.col("a").alias("node"), "w", inner.alias("inner")).unionByName(graph.select(F.col("b").alias("node"), "w", inner.alias("inner")))
+    return ends.groupBy("node").agg(F.sum("w").alias("k"), (F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0.0)) / 2).alias("loop"), F.every("inner").alias("lone"))
 
 
 def modularity(graph: DataFrame, labels: DataFrame) -> float:
@@ -43,9 +44,9 @@ def modularity(graph: DataFrame, labels: DataFrame) -> float:
     return 2 * row.inner / row.k2 - row.sq / row.k2**2 if row.k2 else 0.0
 
 
-def _looked(both: DataFrame, state: DataFrame, double: float, loops: float) -> tuple[DataFrame, float, int]:
+def _looked(both: DataFrame, state: DataFrame, double: float, loops: float, lone: float) -> tuple[DataFrame, float, int]:
     """State (node, label, k) with ``to``, the community with the best gain of each node for which moving gains anything, else
-    null; the modularity of the state; the number of wishes. All in one job."""
+    null; the modularity of the graph; the number of wishes. All in one job. ``lone``: the squares of k of nodes not in the state."""
     near = state.select(F.col("node").alias("dst"), F.col("label").alias("to"))
     own = state.select(F.col("node").alias("src"), F.col("label").alias("to"), F.lit(0.0).alias("w"))  # a choice without links too
     linked = both.join(near, "dst").select("src", "to", "w").unionByName(own).groupBy("src", "to").agg(F.sum("w").alias("w"))
@@ -65,24 +66,26 @@ def _looked(both: DataFrame, state: DataFrame, double: float, loops: float) -> t
     rows = out.select(F.col("src").alias("node"), "label", "k", to.alias("to"), F.col("stay.w").alias("inner"), (F.col("k") * F.col("stay.total")).alias("sq"))
     rows = stored(rows.observe(sums, F.sum("inner").alias("inner"), F.sum("sq").alias("sq"), F.count("to").alias("wishes")).drop("inner", "sq"))
     found = sums.get
-    return rows, ((found["inner"] or 0.0) + 2 * loops) / double - (found["sq"] or 0.0) / double**2, found["wishes"]
+    return rows, ((found["inner"] or 0.0) + 2 * loops) / double - ((found["sq"] or 0.0) + lone) / double**2, found["wishes"]
 
 
 def local_moves(graph: DataFrame, rounds: int = 8, tries: int = 2, least: float = 1e-2) -> tuple[DataFrame, float]:
     """(node, label) and its modularity after moves between the communities of single nodes; stops at a gain under ``least``."""
     loose = graph.where("a <> b")
     both = loose.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(loose.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
-    state = _degrees(graph).select("node", F.col("node").alias("label"), "k")
-    weight, loops = graph.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0))).first()
-    if not weight:
-        return state.select("node", "label"), 0.0
-    seen, best, wishes = _looked(both, stored(state), 2 * weight, loops)
+    nodes = stored(_degrees(graph))
+    lone = F.sum(F.when(F.col("lone"), F.col("k") * F.col("k")).otherwise(0.0))
+    double, loops, squares = nodes.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.sum("loop"), lone).first()
+    if not double:
+        return nodes.select("node", F.col("node").alias("label")), 0.0
+    look = lambda state: _looked(both, state, double, loops, squares)
+    seen, best, wishes = look(nodes.where("not lone").select("node", F.col("node").alias("label"), "k"))
     for step in range(rounds):
         part, gained = 2 if step % 2 else 1, False  # at first all, then halves; fewer where that doesn't help
         for _ in range(tries if wishes else 0):
             chosen = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(part)) == 0
             moved = seen.select("node", F.when(chosen, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label"), "k")
-            after, found, left = _looked(both, moved, 2 * weight, loops)
+            after, found, left = look(moved)
             if found > best + _EPS:
                 gained = True
                 break
@@ -92,7 +95,7 @@ def local_moves(graph: DataFrame, rounds: int = 8, tries: int = 2, least: float
         seen, wishes, rose, best = after, left, found - best, found
         if rose < least:
             break
-    return seen.select("node", "label"), best
+    return seen.select("node", "label").unionByName(nodes.where("lone").select("node", F.col("node").alias("label"))), best
 
 
 def hanging(graph: DataFrame) -> DataFrame:
